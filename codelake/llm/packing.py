@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, id_and_text, read_table, small_batches
-from .subwords import Subwords
+from .subwords import subwords
 
 CAPACITY = 1024
 END_ID = 2
@@ -182,7 +182,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity:
     small_batches(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Subwords(tokenizer)
+        words = subwords(tokenizer)
         end = np.array([end_id], words.dtype)
         for batch in batches:
             rows = []

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import fresh_dir, id_and_text, read_table, small_batches
-from .subwords import Subwords
+from .subwords import subwords
 
 MAGIC = b"CLREC\x00\x01\n"
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("n_tokens", "<u8")])
@@ -96,7 +96,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = EN
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         part, attempt = task.partitionId(), task.taskAttemptId()
-        words = Subwords(tokenizer)
+        words = subwords(tokenizer)
         store, top = _store(folder)
         store.create_dir(top, recursive=True)
         name = f"{top}/part-{part:06d}"

@@ -10,12 +10,15 @@ from __future__ import annotations
 
 import os
 import re
+from functools import cache
 
 import numpy as np
 
 #: Unicode White_Space, which is what the tokenizer's own splitting pattern goes by.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _WORDS = re.compile(f"[{_SPACE}]+(?![^{_SPACE}])| ?[^{_SPACE}]+|[{_SPACE}]+")
+#: How a byte-level vocabulary writes a blank.
+BLANK = "\u0120"
 #: Words beyond this length are encoded each time.
 _LONGEST = 48
 
@@ -23,31 +26,61 @@ _LONGEST = 48
 class Subwords:
     """encode(texts) gives one array of ids per text. Memory is bounded by `remember` words."""
 
-    def __init__(self, path: str, remember: int = 300_000):
+    def __init__(self, path: str, remember: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = np.dtype("<u2") if self._tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self._blank = np.zeros(self._tokenizer.get_vocab_size(), bool)
+        self._blank[[i for piece, i in self._tokenizer.get_vocab().items() if piece[0] == BLANK]] = True
         self._remember = remember
         self._known: dict[str, bytes] = {}
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
-        made = self._tokenizer.encode_batch(words, add_special_tokens=False)
-        return {w: np.array(e.ids, self.dtype).tobytes() for w, e in zip(words, made)}
+        """Encodes many words as one text: only the first id of a word begins with its blank."""
+        led = [w for w in words if w[0] == " " and len(w) > 1 and w[1] != " "]
+        known = self._pieces([w for w in words if not (w[0] == " " and len(w) > 1 and w[1] != " ")])
+        size = self.dtype.itemsize
+        for lo in range(0, len(led), 1000):
+            part = led[lo : lo + 1000]
+            ids = np.array(self._tokenizer.encode("".join(part), add_special_tokens=False).ids, self.dtype)
+            data, cut = ids.tobytes(), [*(np.flatnonzero(self._blank[ids]) * size).tolist(), len(ids) * size]
+            if len(cut) == len(part) + 1:
+                known.update(zip(part, (data[a:b] for a, b in zip(cut, cut[1:]))))
+            else:  # a word holds a character that the tokenizer writes with another blank
+                known.update(self._pieces(part))
+        return known
+
+    def _pieces(self, words: list[str]) -> dict[str, bytes]:
+        """Encodes words as pieces of one text; word_ids says which piece an id came from."""
+        made = self._tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+        data, size = np.array(made.ids, self.dtype).tobytes(), self.dtype.itemsize
+        cut = (np.searchsorted(np.array(made.word_ids, np.int64), np.arange(len(words) + 1)) * size).tolist()
+        return {w: data[lo:hi] for w, lo, hi in zip(words, cut, cut[1:])}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         known, found = self._known, []
-        for text in texts:
-            words = _WORDS.findall(text)
-            if new := set(words).difference(known):
-                known.update(self._learn([w for w in new if len(w) <= _LONGEST]))
-                if long := [w for w in new if len(w) > _LONGEST]:
-                    here = self._learn(long)
-                    found.append(np.frombuffer(b"".join([here[w] if w in here else known[w] for w in words]), self.dtype))
-                    continue
-            found.append(np.frombuffer(b"".join(map(known.__getitem__, words)), self.dtype))
-            if len(known) > self._remember:
-                known.clear()
+        split = [_WORDS.findall(text) for text in texts]
+        new = set().union(*split).difference(known)
+        long = self._learn([w for w in new if len(w) > _LONGEST])
+        known.update(self._learn([w for w in new if len(w) <= _LONGEST]))
+        get = known.__getitem__
+        for words in split:
+            if long and not long.keys().isdisjoint(words):
+                ids = [long[w] if len(w) > _LONGEST else get(w) for w in words]
+            else:
+                ids = map(get, words)
+            found.append(np.frombuffer(b"".join(ids), self.dtype))
+        if len(known) > self._remember:
+            # The oldest entries are the commonest words.
+            for w in list(known)[self._remember // 2 :]:
+                del known[w]
         return found
+
+
+@cache
+def subwords(path: str) -> Subwords:
+    """One for each Python worker, so that what one task has learned serves the next."""
+    return Subwords(path)
