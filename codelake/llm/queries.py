@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
-from . import packing, records
+from . import linededup, neardup, packing, records, secrets
 
-QUERIES = {f.__name__: f for f in (records.op7_binary_records, packing.op10_best_fit_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        neardup.op1_minhash_near_dedup,
+        linededup.op2_line_dedup,
+        records.op7_binary_records,
+        secrets.op9_secret_scan,
+        packing.op10_best_fit_packing,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
