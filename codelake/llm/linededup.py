@@ -27,34 +27,46 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import read_table
+from .common import cut, read_table
 
-LINE_END = r"(?<=\n|[.!?,;:es]\s)"
+# A line ends after these; the white space after a mark or a word belongs to its line.
+LINE_END = r"([.!?,;:es]\s|\n)"
 MIN_WORDS = 20
 _BLANK = " \t\r\n"
+_CUT = "\u0001"
 
 
-def _with_chunks(docs: DataFrame) -> DataFrame:
-    """docs with _text, _hash (of the text), _lines and _starts (first line of each chunk)."""
-    d = docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    d = d.withColumns({"_hash": F.hash("_text"), "_lines": F.split("_text", LINE_END)})
-    hashes = F.transform("_lines", lambda line: F.xxhash64(F.btrim(line, F.lit(_BLANK))))
-    d = d.withColumn("_each", hashes)
-    # A shift and an exclusive or: the rolling hash of a line and the one before it.
-    d = d.withColumn("_roll", F.zip_with("_each", F.concat(F.array(F.lit(0).cast("long")), F.slice("_each", 1, F.greatest(F.size("_each") - 1, F.lit(0)))), lambda a, b: F.xxhash64(F.shiftleft(b, 1).bitwiseXOR(a))))
-    v = lambda i: F.get("_roll", i)
-    least = lambda i: (v(i - 1) < v(i - 2)) & (v(i - 1) <= v(i))  # noqa: E731  the line before i ends a chunk
-    starts = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: (i == 0) | F.when((i >= 3), least(i)).otherwise(F.lit(False)))
-    return d.withColumn("_starts", starts).drop("_each", "_roll")
+def _lines(text: Column) -> Column:
+    """The lines of a text; joined, they give the text again."""
+    marked = F.split(F.regexp_replace(text, LINE_END, f"$1{_CUT}"), _CUT)
+    return F.when(F.contains(text, F.lit(_CUT)), F.split(text, r"(?<=\n|[.!?,;:es]\s)")).otherwise(marked)
 
 
-def _chunk(k: Column) -> Column:
+def _with_starts(d: DataFrame) -> DataFrame:
+    """Adds to _lines their hashes _each and _starts, the number of each chunk's first line."""
+    d = d.withColumn("_each", F.transform("_lines", lambda line: F.xxhash64(F.btrim(line, F.lit(_BLANK)))))
+    before = F.concat(F.array(F.lit(0).cast("long")), F.slice("_each", 1, F.greatest(F.size("_each") - 1, F.lit(0))))
+    # The rolling hash of a line and the one before it: a shift and an exclusive or.
+    d = d.withColumn("_roll", F.zip_with("_each", before, lambda now, last: F.xxhash64(F.shiftleft(last, 1).bitwiseXOR(now))))
+    roll = lambda i: F.get("_roll", i)
+    ends = lambda i: (roll(i) < roll(i - 1)) & (roll(i) <= roll(i + 1))
+    starts = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: (i == 0) | ((i >= 3) & ends(i - 1)))
+    return d.withColumn("_starts", F.when(F.col("_lines").isNotNull(), starts)).drop("_roll")
+
+
+def _bounds(k: Column) -> tuple[Column, Column]:
+    """The first line of chunk k, and how many lines it has."""
     start = F.get("_starts", k)
-    return F.slice("_lines", start + 1, F.coalesce(F.get("_starts", k + 1), F.size("_lines")) - start)
+    return start, F.coalesce(F.get("_starts", k + 1), F.size("_lines")) - start
+
+
+def _chunk(k: Column) -> Column:
+    start, n = _bounds(k)
+    return F.slice("_lines", start + 1, n)
 
 
 def _bare(chunk: Column) -> Column:
-    """A chunk's text with single blanks between its lines: what is hashed and compared."""
+    """A chunk's text with single blanks between its lines, as it is compared."""
     return F.array_join(F.transform(chunk, lambda line: F.btrim(line, F.lit(_BLANK))), " ")
 
 
@@ -62,31 +74,41 @@ def _numbers() -> Column:
     return F.sequence(F.lit(0), F.size("_starts") - 1)
 
 
-def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
-    """The documents with their chunks, and (doc_id, _hash, _gone: the numbers of the chunks to remove)."""
-    d = _with_chunks(docs)
-    hashed = d.select("doc_id", "_hash", F.explode(F.transform(_numbers(), lambda k: F.struct(k.alias("k"), F.xxhash64(_bare(_chunk(k))).alias("h"), (F.size(_chunk(k)) > 1).alias("long")))).alias("c"))
-    hashed = hashed.filter("c.long").select("doc_id", "_hash", "c.k", "c.h")
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("_hash", F.hash(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+
+
+def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, _hash, _gone: the numbers of the chunks to remove, _words: how many words they hold)."""
+
+    def hash_of(k: Column) -> Column:
+        start, n = _bounds(k)
+        return F.when(n > 1, F.xxhash64(F.slice("_each", start + 1, n)))
+
+    d = _with_starts(docs.select("doc_id", "_hash", _lines(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_lines")))
+    # Hashes only: read and cut the texts once, then count and join from this.
+    hashes = cut(d.select("doc_id", "_hash", F.transform(_numbers(), hash_of).alias("hashes")))
+    hashed = hashes.select("doc_id", "_hash", F.posexplode("hashes").alias("k", "h")).filter("h is not null")
     again = hashed.groupBy("h").count().filter("count > 1").select("h")
     maybe = hashed.join(again, "h").groupBy("doc_id", "_hash").agg(F.array_sort(F.collect_set("k")).alias("_maybe"))
-    d = d.join(maybe, ["doc_id", "_hash"], "left")
 
-    texts = d.filter("_maybe is not null").select("doc_id", "_hash", F.explode(F.transform("_maybe", lambda k: F.struct(k.alias("k"), _bare(_chunk(k)).alias("text")))).alias("c")).select("doc_id", "_hash", "c.k", "c.text")
-    first = texts.groupBy("text").agg(F.min(F.struct("doc_id", "_hash", "k")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    marked = texts.join(first.select("text", "first"), "text").filter(F.struct("doc_id", "_hash", "k") != F.col("first"))
+    d = docs.join(maybe, ["doc_id", "_hash"])
+    d = _with_starts(d.select("doc_id", "_hash", "_maybe", _lines(F.col("text").cast("string")).alias("_lines")))
+    texts = d.select("doc_id", "_hash", F.explode(F.transform("_maybe", lambda k: F.struct(k.alias("k"), _bare(_chunk(k)).alias("text")))).alias("c")).select("doc_id", "_hash", "c.k", "c.text")
+    first = texts.groupBy("text").agg(F.min(F.struct("doc_id", "_hash", "k")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    marked = texts.join(first, "text").filter(F.struct("doc_id", "_hash", "k") != F.col("first"))
     marked = marked.select("doc_id", "_hash", "k", F.size(F.split("text", r"\s+")).alias("words")).distinct()
     # Chunks in a row: within a document only, over its marked chunks.
-    in_doc = Window.partitionBy("doc_id", "_hash")
-    row = marked.withColumn("row", F.col("k") - F.row_number().over(in_doc.orderBy("k")))
+    row = marked.withColumn("row", F.col("k") - F.row_number().over(Window.partitionBy("doc_id", "_hash").orderBy("k")))
     row = row.withColumn("together", F.sum("words").over(Window.partitionBy("doc_id", "_hash", "row")))
-    gone = row.filter(F.col("together") >= min_words).groupBy("doc_id", "_hash").agg(F.collect_list("k").alias("_gone"), F.sum("words").alias("_words"))
-    return d, gone
+    return row.filter(F.col("together") >= min_words).groupBy("doc_id", "_hash").agg(F.collect_list("k").alias("_gone"), F.sum("words").alias("_words"))
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, report: bool = False) -> DataFrame:
     """The documents with repeated passages cut out of `text`; report adds removed_chunks and removed_words."""
-    d, gone = find_repeats(docs, min_words)
-    d = d.join(gone, ["doc_id", "_hash"], "left")
+    keyed = _keyed(docs)
+    d = keyed.join(find_repeats(keyed, min_words), ["doc_id", "_hash"], "left")
+    d = _with_starts(d.withColumn("_lines", F.when(F.col("_gone").isNotNull(), _lines(F.col("text").cast("string")))))
     kept = F.array_join(F.flatten(F.transform(F.array_except(_numbers(), "_gone"), _chunk)), "")
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
     columns = {"text": text}
