@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from . import linededup, neardup, packing, records, secrets
+from . import contamination, embeddings, linededup, lm, neardup, packing, quality, records, secrets, toxicity
 
 QUERIES = {
     f.__name__: f
     for f in (
         neardup.op1_minhash_near_dedup,
         linededup.op2_line_dedup,
+        embeddings.op3_embedding_near_dedup,
+        lm.op4_lm_scores,
+        contamination.op5_decontamination,
+        quality.op6_quality_classifier,
         records.op7_binary_records,
+        toxicity.op8_toxicity,
         secrets.op9_secret_scan,
         packing.op10_best_fit_packing,
     )
 }
 
+#: Hashing, learning and tokenizing aren't expressible in SQL; tests/llm holds brute-force versions.
 ORACLE_SQL: dict[str, str] = {}
