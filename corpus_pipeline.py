@@ -1,17 +1,68 @@
-"""A corpus pipeline made of the operators in codelake.llm."""
+"""A corpus pipeline made of the operators in codelake.llm.
+
+Every stage takes and returns the columns of documents, but for the last, which
+returns the packed pieces. Rows with a null doc_id pass the stages that remove
+documents by id.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codelake.llm.common import read_table
+from codelake.llm.contamination import find_items
+from codelake.llm.linededup import remove_repeats
+from codelake.llm.neardup import near_duplicates
+from codelake.llm.packing import cut_pieces, pack
+from codelake.llm.quality import keep_good
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return docs.join(ids.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return keep_good(docs, read_table(spark, sf_dir, "labels"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that stand elsewhere are cut out of all texts but the first that has them."""
+    return remove_repeats(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return _without(docs, near_duplicates(docs).filter(~F.col("kept")))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return _without(docs, find_items(docs, read_table(spark, sf_dir, "benchmark")))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The remaining documents' tokens, packed into sequences."""
+    import public_tokenizers
+
+    return pack(cut_pieces(docs, public_tokenizers.path("byte_bpe_50k.json")))
+
 
-STAGES: list = []
+STAGES = [
+    ("quality", quality),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
 
 #: No SQL expresses the learned and the hashed stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    docs = read_table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
