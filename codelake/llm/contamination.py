@@ -57,8 +57,10 @@ def _runs(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return shingle_hashes([w if len(w) >= WORDS else [] for w in words])
 
 
-def _values(runs: np.ndarray, f: int) -> np.ndarray:
-    return mix(runs ^ seeded(500 + f))
+def _values(runs: np.ndarray, f: int, out: np.ndarray | None = None) -> np.ndarray:
+    """The f-th order of the runs. They are hashes already, so an exclusive or and an odd factor deal them anew."""
+    out = np.bitwise_xor(runs, seeded(500 + f), out=out)
+    return np.multiply(out, seeded(7500 + f) | np.uint64(1), out=out)
 
 
 def _key(least: np.ndarray, c: int, f: int) -> np.ndarray:
@@ -87,8 +89,9 @@ def segment_keys(texts: list[str | None], classes: list[int], k: int) -> Iterato
     first = np.cumsum(counts) - counts
     starts = np.repeat(first, each) + (np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)) * block
     text = np.repeat(np.arange(len(counts)), each)
+    values = np.empty_like(runs)
     for f in range(k):
-        least, owner = np.minimum.reduceat(_values(runs, f), starts), text
+        least, owner = np.minimum.reduceat(_values(runs, f, values), starts), text
         for c in range(classes[0], classes[-1] + 1):
             if c > classes[0]:  # two blocks of the class below make one of this; a text's last may stand alone
                 place = np.arange(len(owner)) - np.searchsorted(owner, owner)
