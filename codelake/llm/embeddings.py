@@ -44,7 +44,8 @@ THRESHOLD = 0.98
 TABLES = 4
 SAMPLE = 20_000
 TURNS = 30
-BLOCK = 1024
+#: Vectors of one side in a block of a large bucket; look-ups of small buckets in a block; pairs compared at a time.
+BLOCK, TOGETHER, PAIRS = 1024, 4096, 100_000
 #: Keeps rounding from losing a pair at the very border.
 _SLACK = 1e-7
 
@@ -139,11 +140,10 @@ def _keys(vectors: DataFrame, turns: dict[int, np.ndarray], tables: int, most: f
     return vectors.select("row", "v").mapInArrow(run, "row long, t int, code long")
 
 
-def _forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that join what a matrix of links joins: from each node to the least id that it can reach."""
-    ids, at = np.unique(np.concatenate([left, right]), return_inverse=True)
-    i, j = np.nonzero(linked)
-    a, b = at[i], at[len(left) + j]
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join what the links (a, b) join: from each node to the least that it can reach."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
     least = np.arange(len(ids))
     while True:
         low = np.minimum(least[a], least[b])
@@ -158,29 +158,45 @@ def _forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np
     return ids[moved], ids[least[moved]]
 
 
-def _compare(key: tuple, left: pa.Table, right: pa.Table, turns: dict[int, np.ndarray], tables: int, threshold: float, most: float) -> pa.Table:
-    """Of one block: (id, n) how many links each left vector has, and (id, other, n = 0) the forest's edges."""
-    empty = pa.table({"id": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-    if not left.num_rows or not right.num_rows:
-        return empty
-    t, d = key[1].as_py(), key[3].as_py()
+def _same_code(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs (i, j) with x[i] = y[j] in portions of about PAIRS; both sorted."""
+    lo, hi = np.searchsorted(y, x), np.searchsorted(y, x, side="right")
+    each = hi - lo
+    upto = np.cumsum(each)
+    at = 0
+    while at < len(x):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS)))
+        n = each[at:end]
+        i = np.repeat(np.arange(at, end), n)
+        yield i, np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[at:end], n)
+        at = end
+
+
+_MADE = "id long, other long, n long"
+
+
+def _compare(t: int, d: int, left: pa.Table, right: pa.Table, turns: dict[int, np.ndarray], tables: int, threshold: float, most: float) -> pa.Table:
+    """Of one block: (id, id, n) how many links each left vector has, and (id, other, 0) the forest's edges."""
     sides = []
     for side in (left, right):
-        v = _units(np.array(side.column("v").to_pylist(), np.float64))
-        sides.append((side.column("id").to_numpy(), side.column("row").to_numpy(), v, v @ turns[d] if d in turns else v))
-    (ids_x, rows_x, x, turned_x), (ids_y, rows_y, y, turned_y) = sides
-    linked = (x @ y.T >= threshold) & (rows_x[:, None] != rows_y) & (ids_x[:, None] != ids_y)
-    i, j = np.nonzero(linked)
-    first = np.ones(len(i), bool)
-    for part in _parts(d, tables)[:t]:  # met in an earlier table: counted there
-        p, q = turned_x[i][:, part], turned_y[j][:, part]
-        turned_over = (p >= 0) != (q >= 0)
-        first &= (p * p * turned_over).sum(axis=1) > most
-    n = np.bincount(i[first], minlength=len(ids_x))
-    linked[:] = False
-    linked[i[first], j[first]] = True
-    a, b = _forest(linked, ids_x, ids_y)
+        side = side.sort_by("code")
+        v = _units(side.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d))
+        sides.append((side.column("code").to_numpy(), side.column("id").to_numpy(), v, v @ turns[d] if d in turns else v))
+    (codes_x, ids_x, x, turned_x), (codes_y, ids_y, y, turned_y) = sides
+    earlier = _parts(d, tables)[:t]
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for i, j in _same_code(codes_x, codes_y):
+        near = (np.einsum("ij,ij->i", x[i], y[j]) >= threshold) & (ids_x[i] != ids_y[j])
+        i, j = i[near], j[near]
+        first = np.ones(len(i), bool)
+        for part in earlier:  # met in an earlier table: counted there
+            p, q = turned_x[:, part][i], turned_y[:, part][j]
+            first &= (p * p * ((p >= 0) != (q >= 0))).sum(axis=1) > most
+        found.append((i[first], j[first]))
+    i, j = (np.concatenate(side) for side in zip(*found))
+    n = np.bincount(i, minlength=len(ids_x))
     some = np.flatnonzero(n)
+    a, b = _forest(ids_x[i], ids_y[j])
     return pa.table({
         "id": pa.array(np.concatenate([ids_x[some], a])), "other": pa.array(np.concatenate([ids_x[some], b])), "n": pa.array(np.concatenate([n[some], np.zeros(len(a), np.int64)])),
     })
@@ -198,26 +214,34 @@ def vector_links(vectors: DataFrame, threshold: float = THRESHOLD, tables: int =
     # A row for each bucket that is not empty: how many vectors it holds, and one of them.
     held = index.groupBy(*key).agg(F.count("*").alias("held"), F.min("row").alias("one"))
     looked = cut(probes.join(held, key).filter("held > 1 or one != row").select("row", *key, "held"))
-    looking = looked.groupBy(*key).agg(F.count("*").alias("looking"))
+    looking = cut(looked.groupBy(*key).agg(F.count("*").alias("looking"), F.any_value("held").alias("held")))
+    # Small buckets go to a block together, by a hash of their code; a large one has blocks of its own.
+    table = ["label", "t", "d"]
+    blocks = looking.groupBy(*table).agg(F.ceil(F.sum("looking") / TOGETHER).cast("long").alias("blocks"))
     parts = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    alone = (F.col("looking") > BLOCK) | (F.col("held") > BLOCK)
+    place = F.when(alone, -1 - F.col("code")).otherwise(F.pmod(F.xxhash64("code"), F.col("blocks")))
+    buckets = cut(looking.join(blocks, table).select(*key, "looking", "held", place.alias("place")))
     of = lambda n: F.pmod(F.xxhash64("row"), parts(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), parts(n) - 1))
-    left = looked.join(looking, key).withColumn("p", of("looking")).withColumn("q", all_of("held"))
-    right = index.join(held.drop("one"), key).join(looking, key).withColumn("q", of("held")).withColumn("p", all_of("looking"))
-    block = [*key, "p", "q"]
-    own = lambda s: s.select(*(F.col(c).alias(c) for c in ("row", "id", "v", *block)))  # noqa: E731  columns of its own for each side
-    sides = [own(s.select("row", *block).join(vectors.select("row", "id", "v"), "row")) for s in (left, right)]
+    left = looked.drop("held").join(buckets, key).withColumn("p", of("looking")).withColumn("q", all_of("held"))
+    right = index.join(buckets, key).withColumn("q", of("held")).withColumn("p", all_of("looking"))
+    block = [*table, "place", "p", "q"]
+    own = lambda s: s.select(*(F.col(c).alias(c) for c in ("id", "v", "code", *block)))  # noqa: E731  columns of its own for each side
+    left, right = (own(s.select("row", "code", *block).join(vectors.select("row", "id", "v"), "row")) for s in (left, right))
     shared = vectors.sparkSession.sparkContext.broadcast(turns)
 
     def compare(key: tuple, x: pa.Table, y: pa.Table) -> pa.Table:
-        return _compare(key, x, y, shared.value, tables, threshold, most)
+        return _compare(key[1].as_py(), key[2].as_py(), x, y, shared.value, tables, threshold, most)
 
-    return sides[0].groupBy(*block).cogroup(sides[1].groupBy(*block)).applyInArrow(compare, "id long, other long, n long")
+    return left.groupBy(*block).cogroup(right.groupBy(*block)).applyInArrow(compare, _MADE)
 
 
 def near_duplicate_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of (vec_id, embedding, label)."""
-    all_ = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").alias("label"))
+    kind = embeddings.schema["embedding"].dataType.simpleString()
+    vector = F.col("embedding").cast(kind if kind == "array<float>" else "array<double>")  # floats stay short in shuffles
+    all_ = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("v"), F.col("label").alias("label"))
     usable = all_.filter(_usable(F.col("v")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()).select(F.col("vec_id").alias("id"), "label", "v").distinct()
     vectors = cut(usable.withColumn("row", F.monotonically_increasing_id()))
     found = cut(vector_links(vectors, threshold))
