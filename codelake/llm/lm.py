@@ -19,8 +19,8 @@ bin's training tokens; the share of tokens that were seen once (Good-Turing) is
 kept back for the unknown. So the probabilities of all V known tokens and the
 unknown ones sum to one after any context.
 
-Counts cover all training documents. The HEAD most frequent tokens and their
-counts are known to every task; the rest is looked up by a join, exactly.
+Counts cover all training documents. The most frequent tokens, HEAD at most,
+and their counts are known to every task; the rest is looked up by a join, exactly.
 
 Null texts count as empty (one token, the end). Rows with a null doc_id are
 scored but not learned from. Repeated rows each count and each give a row. An
@@ -120,7 +120,16 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """From (word, c): at most HEAD words and a number for each bin reach the driver."""
-    top = counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()
+    # The head is chosen by how many words reach each step of a logarithmic scale (a row for each step).
+    step = F.floor(F.log2("c") * 32)
+    least, room = None, HEAD
+    for s, n in counts.groupBy(step.alias("s")).count().orderBy(F.desc("s")).collect():
+        room -= n
+        if room < 0:
+            break
+        least = s
+    top = counts.filter((step >= least if least is not None else F.lit(False)) | (F.col("word") == F.lit(END))).collect()
+    top.sort(key=lambda r: (-r["c"], bytes(r["word"]) != END, bytes(r["word"])))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     # `bin_of` in Spark's functions, for all words.
     tail = F.col("word").substr(F.greatest(F.octet_length("word") - 2, F.lit(1)), F.lit(3))
