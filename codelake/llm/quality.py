@@ -45,14 +45,25 @@ LABELLED = 20_000
 HIDDEN = 24
 EPOCHS = 60
 THRESHOLD = 0.3
-_REMEMBER = 400_000
-_RUNS = (re.compile(r"\d+"), re.compile(r"(.)\1+"))
+_REMEMBER = 700_000
+_RUN = re.compile(r"(.)\1+")
+
+
+class _Classes(dict):
+    """For str.translate: letters as x or X, digits as 0, marks as they are."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = found = "X" if c.isupper() else "x" if c.isalpha() else "0" if c.isdigit() else c
+        return found
+
+
+_classes = _Classes()
 
 
 def shape_of(word: str) -> str:
-    """Letters as x or X, digits as 0, marks as they are; runs of one shortened."""
-    bare = "".join("X" if c.isupper() else "x" if c.isalpha() else "0" if c.isdigit() else c for c in word[:40])
-    return _RUNS[1].sub(r"\1\1", bare)
+    """A word's classes of characters, with runs of one shortened."""
+    return _RUN.sub(r"\1\1", word[:40].translate(_classes))
 
 
 class _Entries(dict):
@@ -99,12 +110,22 @@ def _around(letters: np.ndarray, shapes: np.ndarray, same: np.ndarray, counts: n
     text = np.repeat(np.arange(len(counts)), counts)
     out = np.zeros_like(own)
     for k in (1, 2):
-        near = (text[k:] == text[:-k])[:, None]
-        out[k:] += own[:-k] * near
-        out[:-k] += own[k:] * near
+        out[k:] += own[:-k]
+        out[:-k] += own[k:]
+        over = np.flatnonzero(text[k:] != text[:-k])  # neighbours in different texts
+        out[over + k] -= own[over]
+        out[over] -= own[over + k]
     return out
 
 
+def _add_by(total: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+    """Adds each row of x to the row of total that its id names."""
+    order = np.argsort(ids.astype(np.uint16), kind="stable")  # a radix sort
+    ids = ids[order]
+    heads = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+    total[ids[heads]] += np.add.reduceat(x[order], heads, axis=0)
+
+
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """A vector of length one (or zero) for each entry, from all rows of docs (text)."""
     names = [f"x{j}" for j in range(DIMENSIONS)]
@@ -116,8 +137,8 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
             if not len(letters):
                 continue
             around = _around(letters, shapes, same, counts)
-            for j in range(DIMENSIONS):
-                total[:, j] += np.bincount(letters, around[:, j], ENTRIES) + np.bincount(shapes, around[:, j], ENTRIES)
+            _add_by(total, letters, around)
+            _add_by(total, shapes, around)
             total[SAME] += around[same].sum(axis=0)
         used = np.flatnonzero(total.any(axis=1)).astype(np.int32)
         if len(used):
@@ -143,23 +164,23 @@ def _means(x: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def pooled(texts: list[str], vectors: np.ndarray) -> np.ndarray:
     letters, shapes, same, counts = read_words(texts)
-    flags = same.astype(np.float32)[:, None]
-    shaped = np.concatenate([vectors[shapes], flags], axis=1)
     # Windows of WINDOW words, the last of a text shorter.
     windows = -(-counts // WINDOW)
     sizes = np.full(windows.sum(), WINDOW)
-    ends = np.cumsum(windows)
-    sizes[ends[counts > 0] - 1] = counts[counts > 0] - (windows[counts > 0] - 1) * WINDOW
-    by_window = _means(shaped, sizes)
-    # How far the window that is farthest from the average shape vector lies away from it.
-    most = np.zeros((len(counts), shaped.shape[1]), np.float32)
-    least = most.copy()
-    some = counts > 0
+    ends, some = np.cumsum(windows), counts > 0
+    sizes[ends[some] - 1] = counts[some] - (windows[some] - 1) * WINDOW
+    width = vectors.shape[1] + 1
+    sums, most, least = (np.zeros((len(counts), width), np.float32) for _ in range(3))
     if some.any():
+        heads = np.cumsum(sizes) - sizes
+        by_window = np.c_[np.add.reduceat(vectors[shapes], heads, axis=0), np.add.reduceat(same.astype(np.float32), heads)]
         starts = (ends - windows)[some]
+        sums[some] = np.add.reduceat(by_window, starts, axis=0)
+        by_window /= sizes[:, None]
         most[some] = np.maximum.reduceat(by_window, starts, axis=0)
         least[some] = np.minimum.reduceat(by_window, starts, axis=0)
-    return np.concatenate([_means(vectors[letters], counts), _means(shaped, counts), most, least, np.log1p(counts)[:, None] / 8], axis=1).astype(np.float32)
+    mean = sums / np.maximum(counts, 1)[:, None]
+    return np.concatenate([_means(vectors[letters], counts), mean, most, least, np.log1p(counts)[:, None] / 8], axis=1).astype(np.float32)
 
 
 class Network:
