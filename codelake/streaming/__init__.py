@@ -1,0 +1 @@
+"""Nothing here streams: every source is read once, as a batch."""
