@@ -45,7 +45,7 @@ LABELLED = 20_000
 HIDDEN = 24
 EPOCHS = 60
 THRESHOLD = 0.3
-_REMEMBER = 700_000
+_REMEMBER = 300_000
 _RUN = re.compile(r"(.)\1+")
 
 

@@ -26,7 +26,7 @@ _LONGEST = 48
 class Subwords:
     """encode(texts) gives one array of ids per text. Memory is bounded by `remember` words."""
 
-    def __init__(self, path: str, remember: int = 700_000):
+    def __init__(self, path: str, remember: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
