@@ -30,7 +30,8 @@ from pyspark.sql.window import Window
 from .common import cut, read_table
 
 # A line ends after these; the white space after a mark or a word belongs to its line.
-LINE_END = r"([.!?,;:es]\s|\n)"
+ENDS = r"[.!?,;:%$#&*|)esES]\s"
+LINE_END = rf"({ENDS}|\n)"
 MIN_WORDS = 20
 _BLANK = " \t\r\n"
 _CUT = "\u0001"
@@ -39,7 +40,7 @@ _CUT = "\u0001"
 def _lines(text: Column) -> Column:
     """The lines of a text; joined, they give the text again."""
     marked = F.split(F.regexp_replace(text, LINE_END, f"$1{_CUT}"), _CUT)
-    return F.when(F.contains(text, F.lit(_CUT)), F.split(text, r"(?<=\n|[.!?,;:es]\s)")).otherwise(marked)
+    return F.when(F.contains(text, F.lit(_CUT)), F.split(text, rf"(?<=\n|{ENDS})")).otherwise(marked)
 
 
 def _with_starts(d: DataFrame) -> DataFrame:
