@@ -33,8 +33,9 @@ def split_top_level(text: Column, separator: str = ",") -> Column:
 def call_of(line: Column) -> Column:
     """(name, args) of a call that a line starts with, else null; no arguments give an empty array."""
     bare = without_comments(line)
-    # Parentheses may nest twice inside the call's own.
-    inner = r"[^()]*(?:\([^()]*(?:\([^()]*\)[^()]*)*\)[^()]*)*"
+    inner = r"[^()]*"
+    for _ in range(5):  # parentheses may nest that deep inside the call's own
+        inner = rf"[^()]*(?:\({inner}\)[^()]*)*"
     pattern = rf"^\s*([A-Za-z_]\w*)\s*\(({inner})\)"
     body = F.trim(F.regexp_extract(bare, pattern, 2))
     args = F.when(body == "", F.array().cast("array<string>")).otherwise(F.transform(split_top_level(body), lambda a: F.trim(a)))
@@ -60,3 +61,33 @@ def snippet(text: Column, length: int = 70) -> Column:
 
 def hex_of(value: Column, digits: int = 8) -> Column:
     return F.concat(F.lit("0x"), F.lpad(F.hex(value), digits, "0"))
+
+
+def json_list(items: Column) -> Column:
+    """["a", "b"] with a blank after each comma."""
+    quoted = F.transform(items, lambda x: F.concat(F.lit('"'), F.regexp_replace(x, r'([\\"])', r"\\$1"), F.lit('"')))
+    return F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))
+
+
+def c_string(expression: Column, macros: Column | None = None) -> Column:
+    """Adjacent literals and macros joined; macros is an array of (name, value), of which the last of a name counts. An unknown name is empty."""
+
+    def literal(token: Column) -> Column:
+        body = F.substring(token, F.lit(2), F.length(token) - 2)
+        marks = {r"\n": "\n", r"\t": "\t", "\\\n": ""}
+
+        def plain(part: Column) -> Column:
+            out = F.when(part.startswith("\\"), F.substring(part, 2, 1)).otherwise(part)
+            for mark, meant in marks.items():
+                out = F.when(part == mark, F.lit(meant)).otherwise(out)
+            return out
+
+        return F.array_join(F.transform(F.regexp_extract_all(body, F.lit(r"(?s)(\\.|[^\\]+)"), 1), plain), "")
+
+    def name(token: Column) -> Column:
+        if macros is None:
+            return F.lit("")
+        return F.coalesce(F.try_element_at(F.filter(macros, lambda m: m["name"] == token), F.lit(-1))["value"], F.lit(""))
+
+    tokens = F.regexp_extract_all(expression, F.lit(r'(?s)("(?:[^"\\]++|\\.)*+"|[A-Za-z_]\w*)'), 1)
+    return F.array_join(F.transform(tokens, lambda t: F.when(t.startswith('"'), literal(t)).otherwise(name(t))), "")
