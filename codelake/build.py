@@ -6,6 +6,7 @@ import argparse
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .operators.actions import state_machine
 from .operators.mining import behavior_code
 from .plans.views import VIEWS
 from .sources.entities import BUILDERS, Tree
@@ -25,6 +26,8 @@ FOREIGN_KEYS = [
     ("behavior_command", "behavior_name", "behavior", "behavior_name"), ("behavior_call", "behavior_name", "behavior", "behavior_name"),
     ("behavior_data_spawn", "behavior_name", "behavior", "behavior_name"), ("behavior_data_spawn", "spawned_behavior", "behavior", "behavior_name"),
     ("behavior_data_spawn", "spawned_model", "model", "model_name"), ("camera_trigger", "level", "level", "folder"),
+    ("mario_action_call", "action_name", "mario_action", "action_name"), ("mario_action_data_transition", "action_name", "mario_action", "action_name"),
+    ("mario_action_data_transition", "to_action", "mario_action", "action_name"),
 ]
 
 
@@ -34,7 +37,10 @@ def build(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     tables = {name: make(tree) for name, make in BUILDERS.items()}
     inside = r"src/game/behaviors/[^/]+\.inc\.c"
     calls, spawns = behavior_code(tree.texts(inside), tree.texts(rf"(?!{inside}$)src/.*\.c"), tables["behavior_command"])
-    return tables | {"behavior_call": calls, "behavior_data_spawn": spawns}
+    group = "stationary|moving|airborne|submerged|cutscene|automatic|object"
+    files = rf"src/game/mario(?:_actions_(?:{group}))?\.c"
+    machine = state_machine(tree.texts(r"include/[^/]+\.h"), tree.texts(files), tree.texts(r"src/game/mario_step\.c"))
+    return tables | {"behavior_call": calls, "behavior_data_spawn": spawns} | machine
 
 
 def views(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:

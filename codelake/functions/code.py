@@ -16,7 +16,10 @@ _TOKEN = re.compile(r'/\*.*?\*/|//[^\n]*|"(?:[^"\\]|\\.)*"|\'(?:[^\'\\]|\\.)*\'|
 _NOT_CALLED = {"if", "for", "while", "switch", "return", "sizeof", "do", "else", "case", "void", "int", "char", "float", "double", "long", "short", "unsigned", "signed"}
 _OPEN, _CLOSE = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
 
-FUNCTION = "struct<name:string,line:int,params:array<string>,calls:array<struct<seq:int,call:string,args:array<string>,line:int,condition:string>>>"
+FUNCTION = (
+    "struct<name:string,line:int,params:array<string>,calls:array<struct<seq:int,call:string,args:array<string>,line:int,condition:string,cases:array<string>>>,"
+    "returns:array<struct<value:string,conditions:array<string>>>,switch:array<struct<label:string,empty:boolean,handler:string>>,words:array<string>>"
+)
 TABLE = "struct<name:string,rows:array<struct<model:string,behavior:string,function:string>>>"
 
 
@@ -75,17 +78,35 @@ def _statement_end(code: _Code, i: int, stop: int) -> int:
     return min(i + 1, stop)
 
 
-def _guards(code: _Code, start: int, stop: int) -> list[tuple[int, int, str]]:
-    """(from, to, condition) of every arm of every if; a condition guards itself too."""
+def _guards(code: _Code, start: int, stop: int) -> list[tuple[int, int, str, bool]]:
+    """(from, to, condition, met) of every arm of every if; a condition guards itself too."""
     found = []
     for i in range(start, stop):
         if code.word[i] != "if" or i + 1 not in code.partner:
             continue
         close = code.partner[i + 1]
         condition, then = code.source(i + 2, close), _statement_end(code, close + 1, stop)
-        found.append((i, then, condition))
+        found.append((i, then, condition, True))
         if then < stop and code.word[then] == "else":
-            found.append((then, _statement_end(code, then + 1, stop), f"!({condition})"))
+            found.append((then, _statement_end(code, then + 1, stop), condition, False))
+    return found
+
+
+def _cases(code: _Code, start: int, stop: int) -> list[list[tuple[int, int, str | None]]]:
+    """For every switch its (from, to, label), from the token after the colon; default has no label."""
+    found = []
+    for i in range(start, stop):
+        body = code.partner.get(i + 1, stop) + 1
+        if code.word[i] != "switch" or body >= stop or code.word[body] != "{":
+            continue
+        end, marks, k = code.partner.get(body, stop), [], body + 1
+        while k < end:
+            if code.word[k] in ("case", "default"):
+                colon = next((c for c in range(k, end) if code.word[c] == ":"), end)
+                marks.append((k, colon + 1, code.source(k + 1, colon) if code.word[k] == "case" else None))
+                k = colon
+            k = code.partner.get(k, k) + 1
+        found.append([(begin, following[0], label) for (_, begin, label), following in zip(marks, [*marks[1:], (end,)], strict=True)])
     return found
 
 
@@ -98,12 +119,20 @@ def functions(text: str) -> list[tuple]:
             names = (code.word[begin:end] for begin, end in code.parts(i))
             params = [next((w for w in reversed(p) if re.match(r"[A-Za-z_]", w)), None) if len(p) > 1 else None for p in names]
             start, stop = close + 2, code.partner[close + 1]
-            guards, calls = _guards(code, start, stop), []
+            guards, switches, calls, returns = _guards(code, start, stop), _cases(code, start, stop), [], []
+            called: list[tuple[int, str]] = []
             for k in range(start, stop - 1):
                 if code.word[k + 1] == "(" and k + 1 in code.partner and re.match(r"[A-Za-z_]", code.word[k]) and code.word[k] not in _NOT_CALLED and code.word[k - 1] not in (".", "->"):
                     near = max((g for g in guards if g[0] <= k < g[1]), key=lambda g: g[0], default=None)
-                    calls.append((len(calls), code.word[k], [code.source(*p) for p in code.parts(k + 1)], code.line(k), near and near[2]))
-            found.append((code.word[i - 1], code.line(i - 1), params, calls))
+                    condition = near and (near[2] if near[3] else f"!({near[2]})")
+                    cases = [label for cs in switches for begin, end, label in cs if begin <= k < end and label]
+                    calls.append((len(calls), code.word[k], [code.source(*p) for p in code.parts(k + 1)], code.line(k), condition, cases))
+                    called.append((k, code.word[k]))
+                elif code.word[k] == "return":
+                    around = sorted((g for g in guards if g[0] <= k < g[1]), reverse=True)
+                    returns.append((code.source(k + 1, _statement_end(code, k, stop) - 1), [g[2] for g in around]))
+            switch = [(label, begin == end, next((w for k, w in called if begin <= k < end and w.startswith("act_")), None)) for begin, end, label in (switches[0] if switches else ())]
+            found.append((code.word[i - 1], code.line(i - 1), params, calls, returns, switch, sorted({w for w in code.word[start:stop] if re.match(r"[A-Za-z_]", w)})))
             i = stop + 1
         elif code.word[i] in ("{", "(", "[") and close is not None:
             i = close + 1

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,9 +19,14 @@ LITERAL = r"^bhv[A-Z0-9]\w*$"
 
 
 def defined(texts: DataFrame) -> DataFrame:
-    """(path, def_index, function, params, calls) of the files (path, text)."""
+    """(path, def_index, function, line, params, calls, returns, switch, words) of the files (path, text)."""
     rows = texts.select("path", F.posexplode(functions_of(F.col("text"))).alias("def_index", "f"))
-    return rows.select("path", "def_index", F.col("f.name").alias("function"), F.col("f.params").alias("params"), F.col("f.calls").alias("calls"))
+    return rows.select("path", "def_index", F.col("f.name").alias("function"), *(F.col(f"f.{c}").alias(c) for c in ("line", "params", "calls", "returns", "switch", "words")))
+
+
+def one_each(functions: DataFrame, pick: Callable[[Column], Column]) -> DataFrame:
+    """Of the definitions of a function the first (F.min) or the last (F.max)."""
+    return functions.groupBy("function").agg(pick(F.struct("path", "def_index", *(c for c in functions.columns if c not in ("path", "def_index", "function")))).alias("d")).select("function", "d.*")
 
 
 def listed(texts: DataFrame) -> DataFrame:
@@ -56,11 +63,10 @@ def behavior_code(inside: DataFrame, outside: DataFrame, commands: DataFrame) ->
     function the last counts, of two outside the first.
     """
     roots = commands.filter("command = 'CALL_NATIVE' and args <> ''").select(F.col("args").alias("function"), "behavior_name").distinct()
-    keep = lambda rows, pick: rows.groupBy("function").agg(pick(F.struct("path", "def_index", "params", "calls")).alias("d")).select("function", "d.*")
-    own = cut(keep(defined(inside), F.max))
+    own = cut(one_each(defined(inside), F.max))
     names = own.select("function")
     others = mentioning(outside, roots.select("function").distinct().join(names, "function", "left_anti"))
-    foreign = keep(defined(others).join(roots, "function", "left_semi").join(names, "function", "left_anti"), F.min)
+    foreign = one_each(defined(others).join(roots, "function", "left_semi").join(names, "function", "left_anti"), F.min)
     functions = cut(own.unionByName(foreign))
     tables = cut(listed(inside.unionByName(others)))
     sites = call_sites(functions)

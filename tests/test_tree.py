@@ -78,6 +78,57 @@ void bhv_crab_loop(void) {
 }
 
 
+FILES |= {
+    "include/game.h": """#define ACT_FLAG_AIR /* 0x1 */ (1 << 11)
+#define ACT_FLAG_SAFE (1 << 12)
+#define ACT_GROUP_MASK 0x000001C0
+#define ACT_GROUP_MOVING /* x */ (1 << 6)
+#define ACT_NONE 0x00000000
+#define ACT_RUN 0x00001041 // a
+#define ACT_JUMP 0x00000842
+#define ACT_HANG 0x00000043
+#define ACT_SINK 0x00000044
+#define ACT_LAND 0x00000045
+""",
+    "src/game/mario.c": """u32 set_mario_action(struct M *m, u32 action, u32 arg) { return set_mario_action_airborne(m, action, arg); }
+s32 common_step(struct M *m, u32 landAction, u32 stepArg) {
+    switch (perform_step(m, stepArg)) {
+        case STEP_CEILING:
+            set_mario_action(m, ACT_HANG, 0);
+            break;
+        case STEP_LANDED:
+            set_mario_action(m, landAction, 0);
+            break;
+    }
+}
+""",
+    "src/game/mario_actions_moving.c": """s32 act_run(struct M *m) {
+#if RUMBLE
+    queue(5, 80);
+#endif
+    if (m->input & 2) {
+        return set_mario_action(m, m->fast ? ACT_JUMP : ACT_LAND, 0);
+    }
+    common_step(m, ACT_LAND, 0);
+}
+s32 act_jump(struct M *m) { common_step(m, ACT_RUN, STEP_CHECK_HANG); }
+s32 check_cancels(struct M *m) {
+    if (!(m->action & ACT_FLAG_SAFE)) { return set_mario_action(m, ACT_SINK, 0); }
+}
+s32 mario_execute_moving_action(struct M *m) {
+    if (check_cancels(m)) return TRUE;
+    switch (m->action) {
+        case ACT_RUN: cancel = act_run(m); break;
+        case ACT_HANG:
+        case ACT_JUMP: cancel = act_jump(m); break;
+        default: break;
+    }
+}
+""",
+    "src/game/mario_step.c": "s32 perform_step(struct M *m, u32 stepArg) {\n if (x) { if (stepArg & STEP_CHECK_HANG) { return STEP_CEILING; } }\n return STEP_LANDED;\n}\n",
+}
+
+
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("tree")
@@ -169,6 +220,28 @@ def test_action_views(spark):
     assert every("save_struct_coverage") == [("E", 4, 0, 4), ("S", 10, 6, 4)]
 
 
+def test_state_machine(tables):
+    every = lambda name, *c: rows(tables[name], *(c or tables[name].columns))
+    nodes = {r[0]: r[1:] for r in every("mario_action")}
+    moving, src = "MOVING", "src/game/mario_actions_moving.c"
+    assert nodes["ACT_RUN"] == ("0x00001041", moving, '["SAFE"]', "act_run", src, 1)
+    assert nodes["ACT_JUMP"][:4] == ("0x00000842", moving, '["AIR"]', "act_jump") and nodes["ACT_HANG"][3] == "act_jump"
+    assert nodes["ACT_NONE"] == ("0x00000000", None, "[]", None, None, None) and len(nodes) == 6
+    assert every("mario_action_call", "action_name", "function", "target", "condition", "gated_by") == sorted([
+        ("ACT_RUN", "act_run", "m->fast ? ACT_JUMP : ACT_LAND", "m->input & 2", None),
+        *((a, "common_step", "landAction", None, None) for a in ("ACT_RUN", "ACT_JUMP", "ACT_HANG")),
+        ("ACT_RUN", "common_step", "ACT_HANG", None, "STEP_CHECK_HANG"), ("ACT_JUMP", "common_step", "ACT_HANG", None, None), ("ACT_HANG", "common_step", "ACT_HANG", None, None),
+        ("ACT_RUN", "check_cancels", "ACT_SINK", "!(m->action & ACT_FLAG_SAFE)", "!(ACT_FLAG_SAFE)"),
+        *((a, "check_cancels", "ACT_SINK", "!(m->action & ACT_FLAG_SAFE)", None) for a in ("ACT_JUMP", "ACT_HANG")),
+    ], key=repr)
+    assert every("mario_action_data_transition", "action_name", "to_action", "source", "function") == sorted([
+        ("ACT_RUN", "ACT_JUMP", "expr", "act_run"), ("ACT_RUN", "ACT_LAND", "expr", "act_run"), ("ACT_JUMP", "ACT_RUN", "landAction", "act_jump"), ("ACT_HANG", "ACT_RUN", "landAction", "act_jump")
+    ], key=repr)
+    views = build.views(tables)
+    assert rows(views["mario_transition_refuted"], "action_name", "to_action") == [("ACT_RUN", "ACT_HANG"), ("ACT_RUN", "ACT_SINK")]
+    assert views["mario_all_transitions"].count() == 8
+
+
 def test_expressions():
     given = {"1 | 0x10": 17, "-7 / 2": -4, "~1 & 6": 6, "(3 << 2) % 5": 2, "BPARAM1(1) | BPARAM4(300)": (1 << 24) | 44, "010": None, "A + 1": None, "'x'": None, "1 / 0": None, "1 <<": None}
     assert {k: constants.evaluate(k) for k in given} == given
@@ -176,6 +249,7 @@ def test_expressions():
 
 def test_guards_of_calls():
     text = "int f(int a, struct X *m) {\n#if X\n if (a == 1 && g(a)) { h(\"}\"); if (a) k(); else { l(); } }\n else m->n(1);\n return a > q(a.r(1));\n}"
-    [(name, line, params, calls)] = code.functions(text)
+    [(name, line, params, calls, returns, _, _)] = code.functions(text)
     assert (name, line, params) == ("f", 1, ["a", "m"])
     assert [(c[1], c[4]) for c in calls] == [("g", "a == 1 && g(a)"), ("h", "a == 1 && g(a)"), ("k", "a"), ("l", "!(a)"), ("q", None)]
+    assert [r[0] for r in returns] == ["a > q(a.r(1))"]
