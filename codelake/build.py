@@ -26,6 +26,7 @@ FOREIGN_KEYS = [
     ("behavior_command", "behavior_name", "behavior", "behavior_name"), ("behavior_call", "behavior_name", "behavior", "behavior_name"),
     ("behavior_data_spawn", "behavior_name", "behavior", "behavior_name"), ("behavior_data_spawn", "spawned_behavior", "behavior", "behavior_name"),
     ("behavior_data_spawn", "spawned_model", "model", "model_name"), ("camera_trigger", "level", "level", "folder"),
+    ("save_field", "struct_name", "save_struct", "struct_name"),
     ("mario_action_call", "action_name", "mario_action", "action_name"), ("mario_action_data_transition", "action_name", "mario_action", "action_name"),
     ("mario_action_data_transition", "to_action", "mario_action", "action_name"),
 ]

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.constants import defines_of, enum_of, int_token, packed
+from ..functions.layout import active_text, layout_of
 from ..functions.text import acts, c_string, call_of, json_list, split_top_level, without_comments
 from ..operators.state import first_row, last_seen
 from .lines import files, lines, with_level_and_area
@@ -328,3 +329,28 @@ def camera_trigger(tree: Tree) -> DataFrame:
     docs = docs.select(F.regexp_extract("head", r"(sCam\w+)\[\]$", 1).alias("camera_table"), F.trim(F.regexp_replace(words, r"\s+", " ")).alias("doc"))
     rows = rows.join(wired, "camera_table", "left").join(docs, "camera_table", "left")
     return rows.select("level", "camera_table", "seq", "area", "event", *[n for n in names[2:]], "doc", F.col("path").alias("file"), "line")
+
+
+def _save_layout(tree: Tree, part: str) -> DataFrame:
+    """The three short files that tell the layout, side by side in one row."""
+    told = tree.texts(r"src/game/save_file\.h|include/types\.h|levels/course_defines\.h")
+    row = told.agg(F.map_from_entries(F.collect_list(F.struct("path", "text"))).alias("files"))
+    return row.select(F.inline(layout_of(F.col("files"))[part]))
+
+
+@builder
+def save_struct(tree: Tree) -> DataFrame:
+    return _save_layout(tree, "structs")
+
+
+@builder
+def save_field(tree: Tree) -> DataFrame:
+    return _save_layout(tree, "fields")
+
+
+@builder
+def save_flag(tree: Tree) -> DataFrame:
+    """Flags of a single bit."""
+    rows = tree.texts(r"src/game/save_file\.h").select(F.explode(defines_of(active_text(F.col("text")))).alias("d"))
+    rows = rows.filter((F.col("d.value") > 0) & (F.bit_count("d.value") == 1) & F.col("d.name").startswith("SAVE_FLAG_"))
+    return rows.select(F.lit("flags").alias("flag_group"), F.bit_count(F.col("d.value") - 1).alias("bit"), F.col("d.name").alias("flag_name"), F.col("d.value").alias("mask"))

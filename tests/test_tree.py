@@ -128,6 +128,43 @@ s32 mario_execute_moving_action(struct M *m) {
     "src/game/mario_step.c": "s32 perform_step(struct M *m, u32 stepArg) {\n if (x) { if (stepArg & STEP_CHECK_HANG) { return STEP_CEILING; } }\n return STEP_LANDED;\n}\n",
 }
 
+FILES |= {
+    "include/types.h": "typedef short s16;\ntypedef s16 Triple[3];\n",
+    "src/game/save_file.h": """#ifndef GUARD_H
+#define SIZE 0x100
+struct Sign {
+    u16 magic;
+    u16 sum;
+};
+// One file.
+struct File {
+    u8 a;
+    // Where it lies.
+    Triple pos;
+    u32 flags;
+    u8 stars[COURSE_COUNT];
+    struct Sign sign;
+};
+struct SaveBuffer {
+    struct File files[2][2];
+#ifdef VERSION_EU
+    u16 language;
+#else
+    /* rest */
+    u8 filler[SIZE - 4 * sizeof(struct File)];
+#endif
+};
+struct Unused {
+    u8 x;
+};
+#define SAVE_FLAG_ONE /* 0x1 */ (1 << 0)
+#define SAVE_FLAG_KEY (1 << 4)
+#define SAVE_FLAG_BOTH (SAVE_FLAG_ONE | SAVE_FLAG_KEY)
+#define SAVE_FLAG_OF(x) ((x) >> 24)
+#endif
+""",
+}
+
 
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory):
@@ -242,6 +279,16 @@ def test_state_machine(tables):
     assert views["mario_all_transitions"].count() == 8
 
 
+def test_save_layout(tables):
+    every = lambda name, *c: rows(tables[name], *(c or tables[name].columns))
+    assert every("save_struct") == [("File", 20, 4, "One file."), ("SaveBuffer", 256, 4, None), ("Sign", 4, 2, None)]
+    fields = {r[0]: r[1:] for r in rows(tables["save_field"].filter("struct_name <> 'Sign'"), "field_name", "offset", "size", "dims", "is_struct", "doc")}
+    assert fields["pos"] == (2, 6, "", False, "Where it lies.") and fields["flags"] == (8, 4, "", False, None) and fields["stars"] == (12, 1, "1", False, None)
+    assert fields["sign"] == (14, 4, "", True, None) and fields["files"] == (0, 80, "2,2", True, None) and fields["filler"] == (80, 176, "176", False, "rest")
+    assert every("save_flag") == [("flags", 0, "SAVE_FLAG_ONE", 1), ("flags", 4, "SAVE_FLAG_KEY", 16)]
+    assert rows(build.views(tables)["save_struct_coverage"], "struct_name", "padding_bytes") == [("File", 20 - (1 + 6 + 4 + 1 + 4)), ("SaveBuffer", 0), ("Sign", 0)]
+
+
 def test_expressions():
     given = {"1 | 0x10": 17, "-7 / 2": -4, "~1 & 6": 6, "(3 << 2) % 5": 2, "BPARAM1(1) | BPARAM4(300)": (1 << 24) | 44, "010": None, "A + 1": None, "'x'": None, "1 / 0": None, "1 <<": None}
     assert {k: constants.evaluate(k) for k in given} == given
