@@ -50,6 +50,24 @@ def test_near_duplicates_equal_brute_force(documents):
     assert found == group
 
 
+def test_near_duplicates_join_families_at_the_threshold(spark):
+    rng, texts = np.random.default_rng(5), []
+    for i in range(120):
+        words = [f"w{j}" for j in range(2040)]
+        for p in rng.choice(406, 25, replace=False):  # 125 of 2036 runs: most pairs are a little below 0.8
+            words[5 * p + 4] = f"d{i}_{p}"
+        texts.append(" ".join(words))
+    sets = [runs(t) for t in texts]
+    group = list(range(1, len(texts) + 1))
+    for a in range(len(texts)):
+        for b in range(a):
+            if group[a] != group[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                low, high = sorted((group[a], group[b]))
+                group = [low if g == high else g for g in group]
+    found = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs_of(spark, *texts)).collect()}
+    assert [found[i] for i in range(1, len(texts) + 1)] == group
+
+
 def test_near_duplicates_on_odd_rows(spark, nothing):
     found = neardup.near_duplicates(docs_of(spark, None, "", "one two", "ONE  two", "one three")).orderBy("doc_id").collect()
     assert [(r["class_id"], r["kept"]) for r in found] == [(1, True), (2, True), (3, True), (3, False), (5, True)]
