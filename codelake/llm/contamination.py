@@ -36,7 +36,6 @@ from .shingles import WORDS, mix, seeded, shingle_hashes, split_by, words_of
 
 THRESHOLD = 0.8
 MISS = 1e-5
-LEAST_CLASS = 3
 MOST_SIGNATURES = 2_000_000
 
 
@@ -48,7 +47,7 @@ def functions_for(threshold: float = THRESHOLD, miss: float = MISS) -> int:
 
 
 def size_class(n: np.ndarray) -> np.ndarray:
-    return np.maximum(LEAST_CLASS, np.ceil(np.log2(np.maximum(n, 1)))).astype(np.int64)
+    return np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64)
 
 
 def _runs(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:

@@ -165,6 +165,15 @@ def test_items_in_documents_equal_brute_force(spark, documents):
     assert {(r["doc_id"], r["item_id"]) for r in contamination.find_items(documents, items, most=0).collect()} == want
 
 
+def test_items_of_one_to_four_runs_are_found(spark):
+    rng = np.random.default_rng(7)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(10**6, size=n))
+    items = [(i, words(5 + i % 4)) for i in range(800)]
+    docs = docs_of(spark, *(f"{words(20 + i % 9)} {text} {words(30)}" for i, text in items))
+    found = contamination.find_items(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(i + 1, i) for i, _ in items}
+
+
 @pytest.mark.parametrize("scores, column", [(quality.quality_scores, "quality"), (toxicity.toxicity_scores, "toxic")])
 def test_classifiers_on_held_out_rows(spark, scores, column):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
