@@ -1,10 +1,10 @@
 """Operator 9: secrets in texts, by fixed patterns and by a battery of randomness tests.
 
 Everything is built from Spark's own functions. Three fixed patterns give the
-base spans. Besides, every run of 20 or more key characters that has a letter
-and a digit is a candidate: its encoding (and so its alphabet) is inferred from
-its characters, and three tests ask whether it may be uniform noise over that
-alphabet:
+base spans. Besides, every run of 20 or more key characters is a candidate, and
+where it has `-` or `_` (as URL-safe base64 has) so is the whole run with these:
+its encoding (and so its alphabet) is inferred from its characters, and three
+tests ask whether it may be uniform noise over that alphabet:
 
     chi-squared   of the character counts against equal counts
     runs          of characters above and below the alphabet's middle
@@ -13,7 +13,9 @@ alphabet:
 A candidate's p-value is three times the least of the three, 1 at most. Within
 each bin of lengths (powers of two) the Benjamini-Hochberg step-up rule at level
 FDR rejects noise; what it can't reject is reported as `random`, unless it
-overlaps a base span. Short strings thus compete with short ones only. The rule
+overlaps a base span or lies in a longer one that is. Short strings thus compete
+with short ones only, and candidates of one encoding's characters with a letter
+and a digit among themselves. The rule
 runs on counts of p-values over a fixed grid, whose size doesn't depend on the
 input.
 
@@ -34,12 +36,15 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 CANDIDATE = r"[A-Za-z0-9+/=]{20,}"
+WIDE = r"[A-Za-z0-9+/=_-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
 DIGITS, UPPER, LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 FDR = 0.01
 #: Steps of the p-value grid for each power of ten, and its last step.
 GRID, LAST = 20, 400
+#: Added to the length bins of candidates with `-` or `_`, or without a letter or a digit.
+APART = 32
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -75,17 +80,20 @@ def p_value(token: Column) -> Column:
 
     def alphabet(body: Column) -> Column:
         return (
-            F.when(body.rlike("^[0-9a-f]+$"), F.lit(DIGITS + LOWER[:6]))
+            F.when(body.rlike("^[0-9]+$"), F.lit(DIGITS))
+            .when(body.rlike("^[0-9a-f]+$"), F.lit(DIGITS + LOWER[:6]))
             .when(body.rlike("^[0-9A-F]+$"), F.lit(DIGITS + UPPER[:6]))
             .when(body.rlike("^[A-Z2-7]+$"), F.lit(UPPER + DIGITS[2:8]))
             .when(body.rlike("^[0-9a-z]+$"), F.lit(DIGITS + LOWER))
             .when(body.rlike("^[0-9A-Z]+$"), F.lit(DIGITS + UPPER))
             .when(body.rlike("^[0-9A-Za-z]+$"), F.lit(DIGITS + UPPER + LOWER))
-            .otherwise(F.lit(DIGITS + UPPER + LOWER + "+/"))
+            .when(body.rlike("^[0-9A-Za-z+/]+$"), F.lit(DIGITS + UPPER + LOWER + "+/"))
+            .when(body.rlike("^[0-9A-Za-z_-]+$"), F.lit(DIGITS + UPPER + LOWER + "-_"))
+            .otherwise(F.lit(DIGITS + UPPER + LOWER + "+/-_"))
         )
 
     def parts(token: Column) -> Column:
-        body = F.regexp_replace(token, "[=_-]", "")
+        body = F.regexp_replace(token, "=", "")
         return F.struct(body.alias("body"), alphabet(body).alias("letters"))
 
     def codes(s: Column) -> Column:
@@ -123,28 +131,28 @@ def find_spans(docs: DataFrame) -> DataFrame:
     """doc_id, the base spans, and the candidates with their length bin and step on the grid."""
     d = id_and_text(docs)
     d = d.withColumns({
-        "a": _found(F.col("text"), ASSIGN), "k": _found(F.col("text"), ACCESS), "h": _found(F.col("text"), HEX), "c": _found(F.col("text"), CANDIDATE),
+        "a": _found(F.col("text"), ASSIGN), "k": _found(F.col("text"), ACCESS), "h": _found(F.col("text"), HEX), "c": _found(F.col("text"), CANDIDATE), "w": _found(F.col("text"), WIDE),
     })
-    d = d.withColumn("c", F.when(F.exists("c", lambda t: t.rlike("[0-9]") & t.rlike("[A-Za-z]")), F.col("c")))
+    d = d.withColumn("w", F.when(F.exists("w", lambda t: t.rlike("[_-]")), F.col("w")))
     around = lambda c, pattern: F.when(F.size(c) > 0, F.split("text", pattern, -1))
     d = d.withColumns({
         "values": F.when(F.size("a") > 0, _found(F.col("text"), ASSIGN, 2)),
-        "pa": around("a", ASSIGN), "pk": around("k", ACCESS), "ph": around("h", HEX), "pc": around("c", CANDIDATE),
+        "pa": around("a", ASSIGN), "pk": around("k", ACCESS), "ph": around("h", HEX), "pc": around("c", CANDIDATE), "pw": around("w", WIDE),
     })
     places = {n: _places(F.col(n), F.col(f"p{n}")) for n in "akh"}
     assigned = F.filter(places["a"], lambda p, i: F.length(F.get(F.col("values"), i)) >= 8)
-    keyed = F.filter(
-        F.zip_with(_places(F.col("c"), F.col("pc")), F.col("c"), lambda p, t: F.struct(p["start"].alias("start"), p["end"].alias("end"), t.alias("token"))),
-        lambda p: p["token"].rlike("[0-9]") & p["token"].rlike("[A-Za-z]"),
-    )
+    none = F.array().cast("array<struct<start:int,end:int,token:string>>")
+    tokens = lambda c: F.when(F.size(c) > 0, F.zip_with(_places(F.col(c), F.col(f"p{c}")), F.col(c), lambda p, t: F.struct(p["start"].alias("start"), p["end"].alias("end"), t.alias("token"))))
+    keyed = F.concat(F.coalesce(tokens("c"), none), F.coalesce(F.filter(tokens("w"), lambda p: p["token"].rlike("[_-]")), none))
+    usual = lambda t: t.rlike("[0-9]") & t.rlike("[A-Za-z]") & ~t.rlike("[_-]")
     d = d.select(
         "doc_id",
         _of_kind(assigned, "assign").alias("assign"), _of_kind(places["k"], "access").alias("access"), _of_kind(places["h"], "hex").alias("hex"),
-        F.when(F.size("c") > 0, F.transform(keyed, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), p_value(p["token"]).alias("p")))).alias("tested"),
+        F.transform(keyed, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), p_value(p["token"]).alias("p"), F.when(usual(p["token"]), F.lit(0)).otherwise(F.lit(APART)).alias("apart"))).alias("tested"),
     )
     graded = F.transform("tested", lambda t: F.struct(
         t["start"].alias("start"), t["end"].alias("end"),
-        F.floor(F.log2((t["end"] - t["start"]).cast("double"))).cast("int").alias("bin"),
+        (F.floor(F.log2((t["end"] - t["start"]).cast("double"))).cast("int") + t["apart"]).alias("bin"),
         F.least(F.lit(LAST), F.floor(-F.log10(F.greatest(t["p"], F.lit(1e-30))) * GRID)).cast("int").alias("step"),
     ))
     return d.select("doc_id", *(F.coalesce(F.col(n).cast(SPAN), F.array().cast(SPAN)).alias(n) for n in KINDS[:3]), graded.alias("tested"))
@@ -154,7 +162,7 @@ def reject_from(found: DataFrame, fdr: float = FDR) -> dict[int, int]:
     """For each length bin the first grid step whose p-values reject noise (Benjamini-Hochberg)."""
     counts = found.select(F.explode("tested").alias("t")).groupBy("t.bin", "t.step").count()
     of_bin = Window.partitionBy("bin")
-    # At most LAST + 1 rows for each of the bins, of which a Spark string allows 31.
+    # At most LAST + 1 rows for each of the bins, of which a Spark string allows 2 * 31.
     ranked = counts.withColumns({"all": F.sum("count").over(of_bin), "so_far": F.sum("count").over(of_bin.orderBy(F.desc("step")))})
     kept = ranked.filter(F.pow(F.lit(10.0), -F.col("step") / GRID) <= fdr * F.col("so_far") / F.col("all"))
     return {r["bin"]: r["least"] for r in kept.groupBy("bin").agg(F.min("step").alias("least")).collect()}
@@ -172,13 +180,14 @@ def scan_secrets(docs: DataFrame, fdr: float = FDR) -> DataFrame:
 
     base = F.sort_array(F.concat("assign", "access", "hex"))
     noise = F.filter("tested", lambda t: (t["step"] < last_allowed(t["bin"])) & ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    inside = lambda t: F.exists("noise", lambda n: (n["start"] <= t["start"]) & (t["end"] <= n["end"]) & (n["end"] - n["start"] > t["end"] - t["start"]))
     names = F.array(*(F.lit(k) for k in KINDS))
 
     def text_of(spans: str | Column) -> Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
-    all_spans = F.sort_array(F.concat("base", F.coalesce(_of_kind(noise, "random").cast(SPAN), F.array().cast(SPAN))))
-    return found.withColumn("base", base).select(
+    all_spans = F.sort_array(F.concat("base", F.coalesce(_of_kind(F.filter("noise", lambda t: ~inside(t)), "random").cast(SPAN), F.array().cast(SPAN))))
+    return found.withColumn("base", base).withColumn("noise", noise).select(
         "doc_id",
         *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]),
         F.sha2(text_of("base").cast("binary"), 256).alias("base_sha256"),

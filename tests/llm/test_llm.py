@@ -215,6 +215,17 @@ def test_base_spans_equal_plain_regexes(spark, documents):
     assert [tuple(found[10**6 + i][k] for k in ("n_assign", "n_access", "n_hex")) for i in (1, 2, 3, 4)] == [(1, 1, 1), (0, 0, 0), (0, 0, 0), (0, 0, 0)]
 
 
+def test_url_safe_tokens_are_found(spark):
+    rng = np.random.default_rng(8)
+    letters = list(secrets.DIGITS + secrets.UPPER + secrets.LOWER + "-_")
+    tokens = ["".join(rng.choice(letters, 32)) for _ in range(60)]
+    slug = "this-is-a-long-and-ordinary-page-title-of-a-site"
+    whole = "0123456789-" + "".join(rng.choice(list("0123456789abcdef"), 30))  # the second part is noise, the whole isn't
+    found = [r["spans"] for r in secrets.scan_secrets(docs_of(spark, *(f"see {t} now" for t in [*tokens, slug, whole]))).orderBy("doc_id").collect()]
+    assert sum(s == "random:4:36" for s in found[:60]) >= 57
+    assert found[60] == "" and found[61] == "random:15:45"
+
+
 def test_packing_is_gapless_and_full(spark, nothing):
     rows = packing.op10_best_fit_packing(spark, SF).collect()
     sequences = {}
