@@ -101,7 +101,7 @@ class Hits(dict):
                 hits[voter] += 1
                 if term >= 0:
                     terms.append(term)
-        if "you" in words or not words.isdisjoint(("shut", "hate", "get", "kill", "hurt", "hunt", "destroy", "beat", "burn", "are", "is", "likes")):
+        if "you" in words or not words.isdisjoint(("shut", "hate", "get", "kill", "hurt", "hunt", "destroy", "beat", "burn", "die", "are", "is", "likes")):
             low = text.lower()
             hits[4] = len(ABUSE.findall(low))
             hits[5] = len(THREAT.findall(low))

@@ -189,6 +189,12 @@ def test_classifiers_on_odd_rows(spark, labels, nothing, scores):
     assert scores(docs_of(spark, "a b"), labels.limit(0)).count() == 1
 
 
+@pytest.mark.parametrize("text", ["Shut up!", "They hate him", "Get lost!", "Go away and die!", "You make me sick", "Nobody likes you", "He is a fool", "kill them"])
+def test_each_phrase_of_the_patterns_fires_its_voter(text):
+    hits = toxicity.Hits([]).look(text)[0]
+    assert hits[4] + hits[5] >= 1
+
+
 def test_records_round_trip(spark, documents, nothing):
     import public_tokenizers
     from tokenizers import Tokenizer
