@@ -127,10 +127,59 @@ def test_vector_links_equal_brute_force(spark):
     assert all(found[i]["n_links"] == 0 and found[i]["kept"] for i in range(1000, 1006))
 
 
-def test_flips_are_all_sets_within_the_bound():
-    squares = np.random.default_rng(3).random(8)
-    every = {b for b in range(256) if sum(squares[i] for i in range(8) if b >> i & 1) <= 1.1}
-    assert sorted(embeddings.flips(squares, 1.1)) == sorted(every)
+def links_by_hand(rows):
+    """{vec_id: (n_links, least vec_id reachable)} over usable (vec_id, vector, label) rows."""
+    ids = [r[0] for r in rows]
+    linked = np.zeros((len(rows), len(rows)), bool)
+    for a, (_, v, k) in enumerate(rows):
+        for b in range(a):
+            if k == rows[b][2] and len(v) == len(rows[b][1]):
+                x, y = np.array(v, float), np.array(rows[b][1], float)
+                linked[a, b] = linked[b, a] = x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= 0.98
+    least = np.array(ids)
+    for _ in ids:
+        new = np.minimum(least, [least[row].min() if row.any() else 1 << 60 for row in linked])
+        if (new == least).all():
+            break
+        least = new
+    return {i: (int(row.sum()), int(c)) for i, row, c in zip(ids, linked, least)}
+
+
+@pytest.mark.parametrize("d", [1, 2, 16, 64, 384, 768])
+def test_vector_links_at_any_dimension(spark, d):
+    rng = np.random.default_rng(d)
+    rows = []
+    for i in range(240):
+        v = rng.normal(size=d) if i % 4 == 0 else np.array(rows[i - i % 4][1]) + rng.normal(size=d) * 0.05 * (i % 4)
+        rows.append((i, v.tolist(), 1))
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert found == links_by_hand(rows)
+
+
+def test_equal_vectors_are_counted_not_compared(spark):
+    rng = np.random.default_rng(9)
+    v, w = rng.normal(size=(2, 64))
+    rows = [(i, v.tolist(), 1) for i in range(5000)] + [(5000, (v * 3 + 0.001).tolist(), 1), (5001, w.tolist(), 1), (7, v.tolist(), 1), (5002, [1.0, 2.0], 1), (5003, [2.0, 4.0], 1), (None, v.tolist(), 1)]
+    rows = [(*r, "x") for r in rows]
+    found = [tuple(r) for r in embeddings.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, digest string")).collect()]
+    assert len(found) == len(rows) and found.count((7, 5000, 0, False)) == 2
+    by_id = {r[0]: r[1:] for r in found}
+    assert all(by_id[i] == (5000, 0, i == 0) for i in range(5001)) and by_id[5001] == (0, 5001, True)
+    assert by_id[5002] == (1, 5002, True) and by_id[5003] == (1, 5002, False) and by_id[None] == (0, None, True)
+
+
+def test_hot_buckets_are_dealt_to_blocks(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK", 16)
+    monkeypatch.setattr(embeddings, "TOGETHER", 32)
+    rng = np.random.default_rng(10)
+    v = rng.normal(size=32)
+    rows = [(i, (v + rng.normal(size=32) * 0.1 * (i % 3)).tolist(), 1) for i in range(150)]
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert found == links_by_hand(rows)
+
+
+def test_no_vectors_no_links(spark):
+    assert embeddings.near_duplicate_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
 
 
 def test_lm_base_score_and_gain(spark, documents, nothing):
