@@ -48,10 +48,10 @@ from .components import components
 
 THRESHOLD = 0.98
 #: Chance that two vectors at the threshold share no bucket.
-MISS = 0.003
+MISS = 0.001
 SAMPLE = 20_000
 TURNS = 30
-LEAST_BITS, MOST_BITS, MOST_TABLES = 6, 30, 48
+LEAST_BITS, MOST_BITS, MOST_TABLES = 6, 30, 64
 SKETCH = 128
 #: Vectors of one side in a block of a large bucket, of all small buckets in a block, and numbers compared at a time.
 BLOCK, TOGETHER, NUMBERS = 4096, 8192, 6_000_000
