@@ -1,133 +1,135 @@
-"""Operator 2: passages that recur, found by content-defined chunks of words.
-
-A text is cut into words at white space, and within scripts that set none (Han,
-kana, Thai and their like) after each character. Every word is hashed without
-the white space around it, and in each window of WINDOW words the word of the
-least hash starts a chunk. Borders thus depend on the words of one window and
-not on what precedes the passage, and lie less than WINDOW words apart or are
-the text's own ends: of any passage of n words, at least n - 2 * WINDOW + 1 in a
-row are whole chunks wherever it stands (21 of 50). A single string without
-white space in other scripts is one word.
-
-Chunks with a hash that occurs once are left alone, and so are rows of fewer than
-`min_words` words of chunks that recur. The others are compared byte
-by byte (their text is a grouping and a join key); of each text the first
-occurrence, by doc_id and place, stays and the rest are marked. Marked chunks in
-a row are removed if together they hold at least `min_words` words, so short
-stock phrases stay where they are.
-
-Everything is built from Spark's own functions. Null texts count as empty. Rows
-with the same doc_id and text get the same result; rows with the same doc_id and
-other texts are told apart by a hash of the text. A document may lose all of its
-text; it then stays with an empty text. Other columns pass through; `n_chars`,
-if there is one, is set to the new length.
+"""Operator 2: passages that recur, found by content-defined chunks of lines.
+
+Many texts stand on one long line, so the lines that are hashed here are short ones:
+a text is cut at every blank. One that has a piece of more than LONGEST bytes then is
+cut after any white space instead, and in scripts that set none (Han, kana, Thai and
+their like) after each character of every other block of them.
+
+A line whose hash is the least of those up to RADIUS before and behind it starts a
+chunk, as do a text's first line and its LINES-th from the end; a chunk is LINES lines
+in a row. Where chunks start therefore depends on the lines near by and not on what
+precedes a passage, so it has the same chunks wherever it stands: one every
+2 * RADIUS + 1 lines on average, each lapping over the next.
+
+Chunks with a hash that occurs once are left alone. The texts of the others are
+compared byte by byte: a hash under which two different texts stand removes nothing.
+Of each chunk the first occurrence, by doc_id and place, stays, and the lines of all
+others go. Whatever is removed thus still stands somewhere: the lines of the first
+occurrence go only where another chunk over them has an earlier one.
+
+Everything is built from Spark's own functions. Null texts count as empty; they and
+texts of under LINES lines stay as they are. Rows with a null doc_id come last and
+are told apart by their text. Repeated rows get the same result each and count once.
+Of rows with one doc_id and other texts, what both hold stays in both. Very long
+texts are cut like any other. An empty table gives an empty result. A document may
+lose all of its text; it then stays with an empty text. Other columns pass through,
+whatever their names are; `n_chars`, if there is one, is set to the new length where
+the text has changed.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import cut, read_table
-
-#: Least words of a removed passage; 2 * WINDOW - 1 more make sure that it is found.
-MIN_WORDS, WINDOW = 20, 15
-# Characters of scripts without white space are words of their own.
-ALONE = r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}]"
-_BLANK = " \t\r\n\f\u000b"
-#: Low bits of a word's order hold its place.
-_PLACE = (1 << 28) - 1
-
-
-def _lines(text: Column) -> Column:
-    """The words of a text, each with the white space after it; joined, they give the text again."""
-    plain = F.split(text, r"(?<=\s)(?=\S)")
-    return F.when(F.length(text) == F.octet_length(text), plain).otherwise(F.split(text, rf"(?<=\s|{ALONE})(?=\S)"))
-
-
-def _with_starts(d: DataFrame) -> DataFrame:
-    """Adds to _lines, the words, their hashes _each and _starts, the number of each chunk's first word."""
-    d = d.withColumn("_each", F.transform("_lines", lambda word: F.xxhash64(F.btrim(word, F.lit(_BLANK)))))
-    d = d.withColumn("_w1", F.transform("_each", lambda h, i: h.bitwiseAND(F.lit(~_PLACE)).bitwiseOR(i.cast("long"))))
-    # The least of 2, 4, 8 and then WINDOW words from each place on.
-    for n, last, step in ((2, 1, 1), (4, 2, 2), (8, 4, 4), (WINDOW, 8, WINDOW - 8)):
-        m = f"_w{last}"
-        d = d.withColumn(f"_w{n}", F.zip_with(m, F.slice(m, step + 1, F.size(m)), lambda a, b: F.least(a, b)))
-    full = F.slice(f"_w{WINDOW}", 1, F.greatest(F.size("_lines") - (WINDOW - 1), F.lit(0)))
-    places = F.transform(full, lambda v: v.bitwiseAND(F.lit(_PLACE)).cast("int"))
-    starts = F.array_distinct(F.concat(F.array(F.lit(0)), places))
-    return d.withColumn("_starts", F.when(F.col("_lines").isNotNull(), starts)).drop("_w1", "_w2", "_w4", "_w8", f"_w{WINDOW}")
-
-
-def _bounds(k: Column) -> tuple[Column, Column]:
-    """The first word of chunk k, and how many words it has."""
-    start = F.get("_starts", k)
-    return start, F.coalesce(F.get("_starts", k + 1), F.size("_lines")) - start
-
-
-def _chunk(k: Column) -> Column:
-    start, n = _bounds(k)
-    return F.slice("_lines", start + 1, n)
-
-
-def _bare(chunk: Column) -> Column:
-    """A chunk's text with single blanks between its words, as it is compared."""
-    return F.array_join(F.transform(chunk, lambda line: F.btrim(line, F.lit(_BLANK))), " ")
-
-
-def _numbers() -> Column:
-    return F.sequence(F.lit(0), F.size("_starts") - 1)
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_hash", F.hash(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-
-
-def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, _hash, _gone: the numbers of the chunks to remove, _words: how many words they hold)."""
-
-    def hash_of(k: Column) -> Column:
-        start, n = _bounds(k)
-        return F.struct(F.xxhash64(F.slice("_each", start + 1, n)).alias("h"), n.alias("n"))
-
-    d = _with_starts(docs.select("doc_id", "_hash", _lines(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_lines")))
-    # Hashes only: read and cut the texts once, then count and join from this.
-    hashes = cut(d.select("doc_id", "_hash", F.transform(_numbers(), hash_of).alias("hashes")))
-    hashed = hashes.select("doc_id", "_hash", F.posexplode("hashes").alias("k", "c")).select("doc_id", "_hash", "k", "c.h", "c.n")
-    again = hashed.groupBy("h").count().filter("count > 1").select("h")
-    # Rows of chunks that are too short can't hold a passage. Repeated rows of a document count once.
-    found = hashed.join(again, "h").withColumn("row", F.col("k") - F.dense_rank().over(Window.partitionBy("doc_id", "_hash").orderBy("k")))
-    of_row = Window.partitionBy("doc_id", "_hash", "row")
-    long_ = F.sum("n").over(of_row) * (F.max("k").over(of_row) - F.min("k").over(of_row) + 1) >= min_words * F.count("*").over(of_row)
-    found = found.withColumn("long", long_).filter("long")
-    maybe = found.groupBy("doc_id", "_hash").agg(F.array_sort(F.collect_set("k")).alias("_maybe"))
-
-    d = docs.join(maybe, ["doc_id", "_hash"])
-    d = _with_starts(d.select("doc_id", "_hash", "_maybe", _lines(F.col("text").cast("string")).alias("_lines")))
-    texts = d.select("doc_id", "_hash", F.explode(F.transform("_maybe", lambda k: F.struct(k.alias("k"), _bare(_chunk(k)).alias("text")))).alias("c")).select("doc_id", "_hash", "c.k", "c.text")
-    first = texts.groupBy("text").agg(F.min(F.struct("doc_id", "_hash", "k")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    marked = texts.join(first, "text").filter(F.struct("doc_id", "_hash", "k") != F.col("first"))
-    marked = marked.select("doc_id", "_hash", "k", F.size(F.split("text", r"\s+")).alias("words")).distinct()
-    # Chunks in a row: within a document only, over its marked chunks.
-    row = marked.withColumn("row", F.col("k") - F.row_number().over(Window.partitionBy("doc_id", "_hash").orderBy("k")))
-    row = row.withColumn("together", F.sum("words").over(Window.partitionBy("doc_id", "_hash", "row")))
-    return row.filter(F.col("together") >= min_words).groupBy("doc_id", "_hash").agg(F.collect_list("k").alias("_gone"), F.sum("words").alias("_words"))
-
-
-def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, report: bool = False) -> DataFrame:
-    """The documents with repeated passages cut out of `text`; report adds removed_chunks and removed_words."""
-    keyed = _keyed(docs)
-    d = keyed.join(find_repeats(keyed, min_words), ["doc_id", "_hash"], "left")
-    d = _with_starts(d.withColumn("_lines", F.when(F.col("_gone").isNotNull(), _lines(F.col("text").cast("string")))))
-    kept = F.array_join(F.flatten(F.transform(F.array_except(_numbers(), "_gone"), _chunk)), "")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
+from .common import fresh_dir, read_table, shared_dir
+
+#: Lines of a chunk, and of the neighbourhood in which its first line has the least hash.
+LINES, RADIUS = 11, 5
+LONGEST = 200
+#: Ids of rows without a doc_id start here.
+_NAMELESS = 1 << 62
+
+# Blocks (first, last, size) of characters that stand without white space; a line may end in every other block.
+UNSPACED = ((0x0E00, 0x0EFF, 4), (0x1000, 0x109F, 4), (0x1780, 0x17FF, 4), (0x3040, 0x30FF, 4), (0x3100, 0x9FFF, 256), (0xF900, 0xFAFF, 64), (0x20000, 0x3FFFF, 2048))
+EVERY_OTHER = "".join(rf"\x{{{c:X}}}-\x{{{c + n - 1:X}}}" for lo, hi, n in UNSPACED for c in range(lo, hi + 1, 2 * n))
+
+
+def with_lines(docs: DataFrame, text: Column) -> DataFrame:
+    """Adds `lines`, those of a text, and `between`: what joins them to the text again."""
+    # Columns of their own, so that no line is cut anew for each use.
+    d = docs.withColumn("_text", text).withColumn("lines", F.split("_text", " "))
+    d = d.withColumn("long", F.exists("lines", lambda line: F.octet_length(line) > LONGEST))
+    lines = F.when(F.col("long"), F.split("_text", rf"(?<=\s|[{EVERY_OTHER}])")).otherwise(F.col("lines"))
+    return d.withColumn("lines", lines).withColumn("between", F.when(F.col("long"), "").otherwise(" ")).drop("_text", "long")
+
+
+def _chunk(i: Column) -> Column:
+    return F.slice("lines", i + 1, LINES)
+
+
+def _hash_of(chunk: Column) -> Column:
+    return F.xxhash64(F.transform(chunk, lambda line: F.xxhash64(line)))
+
+
+def _identified(docs: DataFrame) -> DataFrame:
+    """(uid, row): the caller's columns in a struct, and the doc_id, or a number made of the text where there is none."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    nameless = F.shiftrightunsigned(F.xxhash64(text), 2).bitwiseOR(F.lit(_NAMELESS))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), nameless).alias("uid"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
+def chunks(docs: DataFrame) -> DataFrame:
+    """(uid, i, h): of each chunk the number of its first line and its hash; docs: (uid, text)."""
+    d = with_lines(docs, F.col("text")).select("uid", F.transform("lines", lambda line: F.xxhash64(line)).alias("hashes"))
+    d = d.select("uid", "hashes", F.explode(F.sequence(F.lit(0), F.size("hashes") - 1)).alias("i"))
+    last = F.size("hashes") - LINES
+    at = lambda j: F.get("hashes", F.col("i") + j)
+    least = (F.col("i") >= RADIUS) & (F.col("i") <= last)
+    for j in range(1, RADIUS + 1):
+        least = least & (at(0) < at(-j)) & (at(0) <= at(j))
+    d = d.filter((F.col("i") == 0) | (F.col("i") == last) | least).filter(last >= 0)
+    return d.select("uid", "i", F.xxhash64(F.slice("hashes", F.col("i") + 1, LINES)).alias("h"))
+
+
+def _by_document(found: DataFrame) -> DataFrame:
+    """(uid, spans): the chunks (i, h, gone) of each document in their order; found: (uid, i, h, first)."""
+    of_hash = found.repartition("uid").groupBy("uid", "h").agg(F.collect_set("i").alias("at"), F.min("i").alias("least"), F.min("first").alias("first"))
+    gone = lambda i: (F.col("uid") != F.col("first")) | (i != F.col("least"))
+    spans = F.transform("at", lambda i: F.struct(i.alias("i"), F.col("h").alias("h"), gone(i).alias("gone")))
+    return of_hash.select("uid", spans.alias("spans")).groupBy("uid").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
+
+
+def _confirmed(spans: Column) -> Column:
+    """Those of the chunks that stand in `lines`; a row that shares its doc_id may have others."""
+    return F.filter(spans, lambda s: _hash_of(_chunk(s["i"])) == s["h"])
+
+
+def find_repeats(docs: DataFrame) -> DataFrame:
+    """(uid, spans) of all documents that have a chunk that recurs; docs as `_identified` gives them."""
+    spark = docs.sparkSession
+    shared_dir(spark)
+    folder = fresh_dir(spark, "chunks")
+    chunks(docs.select("uid", F.col("row.text").cast("string").alias("text"))).write.parquet(folder)
+    all_ = spark.read.parquet(folder)
+    # Summed up before the shuffle. The result is written, so that the join with it can split a hash that very many documents have.
+    again = all_.groupBy("h").agg(F.count("*").alias("n"), F.min("uid").alias("first")).filter("n > 1").select("h", "first")
+    again.write.parquet(f"{folder}-again")
+    found = all_.join(spark.read.parquet(f"{folder}-again"), "h")
+    texts = with_lines(docs.join(_by_document(found), "uid"), F.col("row.text").cast("string"))
+    texts = texts.select(F.explode(F.transform(_confirmed(F.col("spans")), lambda s: F.struct(s["h"].alias("h"), F.array_join(_chunk(s["i"]), " ").alias("text")))).alias("c"))
+    unequal = texts.select("c.h", "c.text").distinct().groupBy("h").count().filter("count > 1").select("h")
+    return _by_document(found.join(unequal, "h", "left_anti"))
+
+
+def remove_repeats(docs: DataFrame, report: bool = False) -> DataFrame:
+    """The documents with repeated passages cut out of `text`; report adds removed_chunks and removed_lines."""
+    own = _identified(docs)
+    d = own.join(find_repeats(own), "uid", "left")
+    d = with_lines(d, F.when(F.col("spans").isNotNull(), F.col("row.text").cast("string")))
+    d = d.withColumn("starts", F.transform(F.filter(_confirmed(F.col("spans")), lambda s: s["gone"]), lambda s: s["i"]))
+    # What stands between the end of a removed chunk and the start of the next.
+    before = lambda k: F.when(k > 0, F.get("starts", k - 1) + LINES).otherwise(F.lit(0))
+    until = lambda k: F.coalesce(F.get("starts", k), F.size("lines"))
+    stays = F.transform(F.sequence(F.lit(0), F.size("starts")), lambda k: F.slice("lines", before(k) + 1, F.greatest(until(k) - before(k), F.lit(0))))
+    d = d.withColumn("stays", F.when(F.size("starts") > 0, F.flatten(stays)))
+    text = F.when(F.col("stays").isNull(), F.col("row.text")).otherwise(F.call_function("array_join", F.col("stays"), F.col("between")))
     columns = {"text": text}
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.coalesce(F.length(text), F.lit(0)).cast(docs.schema["n_chars"].dataType)
-    out = [columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in docs.columns]
+        columns["n_chars"] = F.when(F.col("stays").isNull(), F.col("row.n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
+    out = [columns.get(c, F.col("row")[c]).alias(c) for c in docs.columns]
     if report:
-        out += [F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("removed_chunks"), F.coalesce("_words", F.lit(0)).cast("long").alias("removed_words")]
+        out += [F.coalesce(F.when(F.col("stays").isNotNull(), F.size("starts")), F.lit(0)).cast("long").alias("removed_chunks"), F.coalesce(F.size("lines") - F.size("stays"), F.lit(0)).cast("long").alias("removed_lines")]
     return d.select(*out)
 
 
