@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.constants import defines_of, int_token
 from ..functions.text import hex_of, json_list
 from .graph import cut, reachable
 from .mining import call_sites, defined, edges_of, one_each
@@ -16,22 +17,29 @@ SETTERS = ("set_mario_action", "drop_and_set_mario_action", "hurt_and_set_mario_
 SETTER_PARTS = ("set_mario_action_airborne", "set_mario_action_moving", "set_mario_action_submerged", "set_mario_action_cutscene")
 GROUP_MASK = 0x1C0
 DISPATCHERS = "mario\\_execute\\_%\\_action"
-NONE_OF = r"!\s*\(\s*m->action\s*&\s*([^)]*)\)"
-SOME_OF = r"m->action\s*&\s*(\([^)]*\)|ACT_FLAG_[A-Z0-9_]+)"
+OWN_VALUE, FLAG = "m->action&", "ACT_FLAG_"
 
 
-def _defines(headers: DataFrame, pattern: str) -> DataFrame:
-    """(name, number) of the defines that fit a pattern of two groups."""
-    pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), 1).alias("name"), F.regexp_extract_all("text", F.lit(pattern), 2).alias("number"))
-    return headers.select(F.explode(pairs).alias("p")).select(F.col("p.name").alias("name"), F.col("p.number").alias("number"))
+def _hexadecimal(headers: DataFrame) -> DataFrame:
+    """(name, value) of the defines whose text is one hexadecimal number."""
+    rows = headers.select(F.explode(F.split("text", "\n")).alias("line")).filter(F.col("line").startswith("#define"))
+    words = F.split(F.trim("line"), r"\s+")
+    rows = rows.select(F.get(words, F.lit(1)).alias("name"), F.get(words, F.lit(2)).alias("number"))
+    return rows.filter(F.lower("number").startswith("0x")).select("name", int_token(F.col("number")).alias("value")).dropna()
+
+
+def _named(headers: DataFrame, prefix: str) -> DataFrame:
+    """(name without the prefix, value) of the defines that start with it and come to a number."""
+    rows = headers.select(F.explode(defines_of(F.col("text"))).alias("d")).filter(F.col("d.name").startswith(prefix))
+    return rows.select(F.substring("d.name", F.lit(len(prefix) + 1), F.length("d.name")).alias("name"), "d.value")
 
 
 def nodes(headers: DataFrame, functions: DataFrame, handlers: DataFrame) -> DataFrame:
     """Actions with group and flags out of their value's bits, and the handler that runs them."""
-    actions = _defines(headers, r"(?m)^#define\s+(ACT_\w+)\s+0x([0-9A-Fa-f]+)\b").filter(~F.col("name").rlike("_MASK$|^ACT_FLAG_|^ACT_GROUP_"))
-    actions = actions.select(F.col("name").alias("action_name"), F.conv("number", 16, 10).cast("bigint").alias("value"))
-    groups = _defines(headers, r"#define\s+ACT_GROUP_(\w+)\s+(?:/\*.*?\*/\s*)?\((\d+)\s*<<\s*6\)").select(F.col("name").alias("group_name"), (F.col("number").cast("bigint") * 64).alias("group"))
-    bits = _defines(headers, r"#define\s+ACT_FLAG_(\w+)\s+(?:/\*.*?\*/\s*)?\(1\s*<<\s*(\d+)\)").select(F.col("name").alias("flag"), F.col("number").cast("int").alias("bit"))
+    other = F.col("name").startswith("ACT_FLAG_") | F.col("name").startswith("ACT_GROUP_") | F.col("name").endswith("_MASK")
+    actions = _hexadecimal(headers).filter(F.col("name").startswith("ACT_") & ~other).select(F.col("name").alias("action_name"), "value")
+    groups = _named(headers, "ACT_GROUP_").filter("name <> 'MASK'").select(F.col("name").alias("group_name"), F.col("value").alias("group"))
+    bits = _named(headers, FLAG).filter("bit_count(value) = 1").select(F.col("name").alias("flag"), F.bit_count(F.col("value") - 1).alias("bit"))
     held = actions.select("action_name", "value", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("bit")).filter(F.expr("(shiftright(value, bit) & 1) = 1"))
     flags = held.join(bits, "bit").groupBy("action_name").agg(F.sort_array(F.collect_list(F.struct("bit", "flag")))["flag"].alias("flags"))
     placed = functions.select(F.col("function").alias("handler"), F.col("path").alias("file"), "line")
@@ -50,16 +58,22 @@ def dispatched(functions: DataFrame) -> DataFrame:
     return cases.filter("c.label is not null").select("dispatcher", "path", "place", F.col("c.label").alias("action_name"), F.col("settled.handler").alias("handler"))
 
 
+def _masked(condition: Column) -> Column:
+    """The (left, right) of every single & in a condition."""
+    words = F.regexp_extract_all(condition, F.lit(r"(&&|\w+|\S)"), 1)
+    around = lambda w, i: F.when(w == "&", F.array(F.get(words, i - 1), F.get(words, i + 1)))
+    return F.filter(F.transform(words, around), lambda pair: pair.isNotNull())
+
+
 def return_gates(functions: DataFrame) -> DataFrame:
     """(constant, flag): constants that are only ever returned under a test of a parameter for one flag."""
-    test = r"(\w+)\s*(?<!&)&(?!&)\s*([A-Za-z_]\w*)"
-    rows = functions.filter(F.exists("params", lambda p: p.isNotNull())).select("params", F.explode("returns").alias("r")).filter(F.col("r.value").rlike("^[A-Z][A-Z0-9_]+$"))
-    sides = F.flatten(F.transform("r.conditions", lambda c: F.arrays_zip(F.regexp_extract_all(c, F.lit(test), 1), F.regexp_extract_all(c, F.lit(test), 2))))
-    rows = rows.select(F.col("r.value").alias("constant"), "params", F.transform(sides, lambda s: F.array(s["0"], s["1"])).alias("sides"))
-    upper = r"^[A-Z0-9_]*[A-Z][A-Z0-9_]*$"
-    flag = lambda s, i, j: F.array_contains("params", s[i]) & s[j].rlike(upper)
-    found = F.transform("sides", lambda s: F.when(flag(s, 0, 1), s[1]).when(flag(s, 1, 0), s[0]))
-    rows = rows.withColumn("flag", F.get(F.filter(found, lambda f: f.isNotNull()), F.lit(0)))
+    shouted = lambda word: (F.upper(word) == word) & word.rlike("^[A-Z]\\w+$")
+    rows = functions.filter(F.exists("params", lambda p: p.isNotNull())).select("params", F.explode("returns").alias("r")).filter(shouted(F.col("r.value")))
+    pairs = F.flatten(F.transform("r.conditions", _masked))
+    # A parameter may stand on either side of the flag.
+    turned = F.flatten(F.transform(pairs, lambda p: F.array(p, F.reverse(p))))
+    tested = F.filter(turned, lambda p: F.array_contains("params", F.get(p, F.lit(0))) & (F.upper(F.get(p, F.lit(1))) == F.get(p, F.lit(1))) & F.get(p, F.lit(1)).rlike("[A-Z]"))
+    rows = rows.select(F.col("r.value").alias("constant"), F.get(F.get(tested, F.lit(0)), F.lit(1)).alias("flag"))
     return rows.groupBy("constant").agg(F.count_distinct("flag").alias("n"), F.count_if(F.col("flag").isNull()).alias("open"), F.min("flag").alias("flag")).filter("n = 1 and open = 0").select("constant", "flag")
 
 
@@ -75,21 +89,28 @@ def refuted(sites: DataFrame, functions: DataFrame, gates: DataFrame, owners: Da
 
 
 def flag_gate(condition: Column, flags: Column) -> Column:
-    """Why the action's own flags rule out a condition on them, else null; an || rules out nothing."""
-    names = lambda text: F.regexp_extract_all(text, F.lit("ACT_FLAG_([A-Z0-9_]+)"), 1)
-    listed = lambda text, pattern: F.transform(F.regexp_extract_all(text, F.lit(pattern), 1), names)
-    first = lambda found: F.array_join(F.transform(F.get(found, F.lit(0)), lambda n: F.concat(F.lit("ACT_FLAG_"), n)), " | ")
-    barred = F.filter(listed(condition, NONE_OF), lambda n: F.arrays_overlap(n, flags))
-    missing = F.filter(listed(F.regexp_replace(condition, NONE_OF, ""), SOME_OF), lambda n: (F.size(n) > 0) & ~F.arrays_overlap(n, flags))
-    reason = F.when(F.size(barred) > 0, F.concat(F.lit("!("), first(barred), F.lit(")"))).when(F.size(missing) > 0, first(missing))
-    return F.when(~condition.contains("||"), reason)
+    """Why the action's own flags rule out a condition on them, else null.
+
+    Without an || the condition is a row of tests joined by &&, each of which must
+    hold: one of the value against a mask asks for any of the mask's flags, or for
+    none of them if it is negated.
+    """
+    tests = F.filter(F.split(F.regexp_replace(condition, r"\s", ""), "&&"), lambda t: t.contains(OWN_VALUE))
+    mask = lambda t: F.substring_index(F.substring_index(t, OWN_VALUE, -1), ")", 1)
+    words = lambda t: F.filter(F.split(mask(t), r"\W+"), lambda w: w.startswith(FLAG))
+    read = F.transform(tests, lambda t: F.struct(F.substring_index(t, OWN_VALUE, 1).endswith("!(").alias("negated"), words(t).alias("names")))
+    held = lambda t: F.arrays_overlap(t["names"], F.transform(flags, lambda f: F.concat(F.lit(FLAG), f)))
+    failed = F.filter(read, lambda t: (F.size(t["names"]) > 0) & (t["negated"] == held(t)))
+    first = F.get(F.concat(F.filter(failed, lambda t: t["negated"]), F.filter(failed, lambda t: ~t["negated"])), F.lit(0))
+    names = F.array_join(first["names"], " | ")
+    return F.when(~condition.contains("||"), F.when(first["negated"], F.concat(F.lit("!("), names, F.lit(")"))).otherwise(names))
 
 
 def data_transitions(sites: DataFrame, owners: DataFrame, actions: DataFrame, literal_edges: DataFrame) -> DataFrame:
     """Edges whose target is an expression with literals in it, or a parameter that a caller fills with a literal; without those that literals show."""
     known = actions.select(F.col("action_name").alias("to_action"))
     open_ = sites.filter(F.col("call").isin(*SETTERS) & F.col("target").isNotNull() & ~F.col("is_action"))
-    said = open_.select("*", F.posexplode(F.regexp_extract_all("target", F.lit(r"\b(ACT_[A-Z0-9_]+)\b"), 1)).alias("place", "to_action"))
+    said = open_.select("*", F.posexplode(F.split("target", r"\W+")).alias("place", "to_action"))
     said = said.join(known, "to_action", "left_semi")
     expression = said.select(
         F.col("function").alias("at"), F.col("seq").alias("at_seq"), F.lit("").alias("from_path"), F.lit(0).alias("from_def"), "place", "function", "to_action", F.lit("expr").alias("source"), "condition", F.col("path").alias("file"), "line"

@@ -63,6 +63,14 @@ class Tree:
         return rows.filter(F.col("text").rlike(r"\{.*\}")).select("path", "line", F.transform(split_top_level(inner), lambda p: F.trim(p)).alias("parts"))
 
 
+def _array_named(kind: str, prefix: str = "") -> Column:
+    """The name of the array of that type that a line declares or defines, else an empty string."""
+    words = F.split("text", r"[^\w\[\]]+")
+    name = F.get(words, F.array_position(words, kind).cast("int"))  # what stands behind the type
+    named = F.array_contains(words, kind) & name.startswith(prefix) & name.endswith("[]")
+    return F.when(named, F.regexp_replace(name, r"\[\]$", "")).otherwise("")
+
+
 SCRIPTS = r"levels/[^/]+/script\.c"
 
 
@@ -88,7 +96,7 @@ def _in_areas(calls: DataFrame) -> DataFrame:
 @builder
 def object(tree: Tree) -> DataFrame:
     """Objects of level scripts. One in a script array belongs to the area that links to the array, the last such one; unlinked ones to 0."""
-    array = F.regexp_extract("text", r"^static const LevelScript\s+(\w+)\[\]", 1)
+    array = F.when(F.col("text").startswith("static"), _array_named("LevelScript")).otherwise("")
     calls = tree.calls(SCRIPTS)
     opened = F.when(array != "", array).when(F.col("name") == "AREA", F.concat(F.lit("@"), F.coalesce(_arg(0).try_cast("int"), F.lit(0)))).when(F.col("text").startswith("END_AREA"), "")
     calls = calls.withColumn("within", last_seen(opened, ["path"], ["line"]))
@@ -160,12 +168,19 @@ def level(tree: Tree) -> DataFrame:
     return rows.select(_arg(1).alias("level_name"), _arg(2).alias("course_name"), F.when(~stub, _arg(3)).alias("folder"), F.regexp_replace(_arg(0), '^"|"$', "").alias("internal_name"), stub.alias("is_stub"))
 
 
+def _numbered_remark(text: Column) -> Column:
+    """What a line's remark says behind its number in brackets."""
+    remark = F.trim(F.get(F.split(text, "//", 2), F.lit(1)))
+    numbered = F.substring_index(remark, ")", 1).rlike("^[(][0-9]+$")
+    return F.when(numbered, F.trim(F.array_join(F.slice(F.split(remark, "[)]"), 2, F.size(F.split(remark, "[)]"))), ")"))).otherwise("")
+
+
 @builder
 def course(tree: Tree) -> DataFrame:
     """In the order of the file; ord keeps it."""
     rows = tree.calls(r"levels/course_defines\.h").filter(F.col("name").isin("DEFINE_COURSE", "DEFINE_BONUS_COURSE")).filter(_needs(F.size("args") >= 2, "a course"))
     return rows.select(
-        _arg(0).alias("course_name"), F.regexp_extract("text", r"//\s*\(\d+\)\s*(.*?)\s*$", 1).alias("display_name"),
+        _arg(0).alias("course_name"), _numbered_remark(F.col("text")).alias("display_name"),
         F.conv(F.regexp_replace(_arg(1), "^0[xX]", ""), 16, 10).cast("bigint").alias("dance_cutscene"), (F.col("name") == "DEFINE_BONUS_COURSE").alias("is_bonus"), F.col("line").alias("ord"),
     )
 
@@ -239,7 +254,7 @@ def dialog(tree: Tree) -> DataFrame:
 
 def _script_commands(tree: Tree) -> DataFrame:
     """Calls with the behaviour script they stand in, and the line where it starts."""
-    defined = F.regexp_extract("text", r"const BehaviorScript (bhv\w+)\[\]", 1)
+    defined = _array_named("BehaviorScript", "bhv")
     event = F.when(defined != "", F.struct(defined.alias("name"), F.col("line").alias("start"))).when(F.col("text").startswith("};"), F.struct(F.lit("").alias("name"), F.col("line").alias("start")))
     rows = tree.calls(r"data/behavior_data\.c").withColumn("script", last_seen(event, ["path"], ["line"]))
     return rows.filter("name is not null and script.name <> ''")
@@ -248,7 +263,7 @@ def _script_commands(tree: Tree) -> DataFrame:
 @builder
 def behavior(tree: Tree) -> DataFrame:
     """Behaviours that the header declares, with the first argument of their script's first BEGIN."""
-    declared = tree.lines(r"include/behavior_data\.h").select(F.regexp_extract("text", r"extern const BehaviorScript (bhv\w+)\[\]", 1).alias("behavior_name")).filter("behavior_name <> ''").distinct()
+    declared = tree.lines(r"include/behavior_data\.h").filter(F.col("text").startswith("extern")).select(_array_named("BehaviorScript", "bhv").alias("behavior_name")).filter("behavior_name <> ''").distinct()
     begun = _script_commands(tree).filter("name = 'BEGIN' and size(args) > 0").groupBy(F.col("script.name").alias("behavior_name")).agg(F.min_by(_arg(0), "line").alias("obj_list"))
     return declared.join(begun, "behavior_name", "left").withColumn("obj_list", F.coalesce("obj_list", F.lit("")))
 
@@ -310,7 +325,7 @@ def constant(tree: Tree) -> DataFrame:
 def camera_trigger(tree: Tree) -> DataFrame:
     """Rows of the trigger tables; a table that no level names keeps a null level. Rows of another shape are left out."""
     path = r"src/game/camera\.c"
-    started = F.regexp_extract("text", r"^struct CameraTrigger (sCam\w+)\[\]\s*=", 1)
+    started = F.when(F.col("text").startswith("struct") & F.col("text").contains("="), _array_named("CameraTrigger", "sCam")).otherwise("")
     event = F.when(started != "", started).when(F.col("text").startswith("}"), "")
     rows = tree.lines(path).withColumn("camera_table", last_seen(event, ["path"], ["line"]))
     bare = without_comments(F.col("text"))
