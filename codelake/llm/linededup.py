@@ -106,7 +106,9 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     again = all_.groupBy("h").agg(F.count("*").alias("n"), F.min("uid").alias("first")).filter("n > 1").select("h", "first")
     again.write.parquet(f"{folder}-again")
     found = all_.join(spark.read.parquet(f"{folder}-again"), "h")
-    texts = with_lines(docs.join(_by_document(found), "uid"), F.col("row.text").cast("string"))
+    # Asks for the whole row, as the join of remove_repeats does, so that both read one shuffle of the texts.
+    text = F.get(F.transform(F.array("row"), lambda row: row["text"]), F.lit(0))
+    texts = with_lines(docs.join(_by_document(found), "uid"), text.cast("string"))
     texts = texts.select(F.explode(F.transform(_confirmed(F.col("spans")), lambda s: F.struct(s["h"].alias("h"), F.array_join(_chunk(s["i"]), " ").alias("text")))).alias("c"))
     unequal = texts.select("c.h", "c.text").distinct().groupBy("h").count().filter("count > 1").select("h")
     return _by_document(found.join(unequal, "h", "left_anti"))
