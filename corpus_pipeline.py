@@ -2,7 +2,9 @@
 
 Every stage takes and returns the columns of documents, but for the last, which
 returns the packed pieces. Rows with a null doc_id pass the stages that remove
-documents by id.
+documents by id. `run` writes each stage's documents to the shared folder before the
+next one reads them, so no stage runs twice and a lost executor costs one stage at
+most.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelake.llm.common import read_table
+from codelake.llm.common import cut, fresh_dir, read_table
 from codelake.llm.contamination import find_items
 from codelake.llm.linededup import remove_repeats
 from codelake.llm.neardup import near_duplicates
@@ -18,8 +20,13 @@ from codelake.llm.packing import cut_pieces, pack
 from codelake.llm.quality import keep_good
 
 
+#: Up to so many ids (16 MB) go to every task, so that no text is shuffled to drop a few documents.
+MOST_IDS = 1_000_000
+
+
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).distinct(), "doc_id", "left_anti").select(docs.columns)
+    gone = cut(ids.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).distinct())
+    return docs.join(F.broadcast(gone) if gone.count() <= MOST_IDS else gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,6 +70,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            folder = fresh_dir(spark, name)
+            docs.write.parquet(folder)
+            docs = spark.read.parquet(folder)
     return docs
