@@ -3,7 +3,8 @@
 A byte-level BPE tokenizer cuts a text before it merges, and never across the
 border between a white-space-led word and the next. Encoding such words one by
 one therefore gives the ids of the whole text, and words recur so often that
-most of the work is a dictionary look-up.
+most of the work is a dictionary look-up. Texts that hold a special token's string,
+which the tokenizer turns into that token, are left to it whole.
 """
 
 from __future__ import annotations
@@ -30,8 +31,10 @@ class Subwords:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self._whole = Tokenizer.from_file(path)
+        self._special = [t.content for t in self._whole.get_added_tokens_decoder().values()]
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self._tokenizer.encode_special_tokens = True  # no word is one
         self.dtype = np.dtype("<u2") if self._tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self._blank = np.zeros(self._tokenizer.get_vocab_size(), bool)
         self._blank[[i for piece, i in self._tokenizer.get_vocab().items() if piece[0] == BLANK]] = True
@@ -62,12 +65,18 @@ class Subwords:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         known, found = self._known, []
+        left = {i for i, text in enumerate(texts) if any(s in text for s in self._special)}
+        made = {i: np.array(self._whole.encode(texts[i], add_special_tokens=False).ids, self.dtype) for i in left}
+        texts = ["" if i in left else text for i, text in enumerate(texts)]
         split = [_WORDS.findall(text) for text in texts]
         new = set().union(*split).difference(known)
         long = self._learn([w for w in new if len(w) > _LONGEST])
         known.update(self._learn([w for w in new if len(w) <= _LONGEST]))
         get = known.__getitem__
-        for words in split:
+        for i, words in enumerate(split):
+            if i in made:
+                found.append(made[i])
+                continue
             if long and not long.keys().isdisjoint(words):
                 ids = [long[w] if len(w) > _LONGEST else get(w) for w in words]
             else:

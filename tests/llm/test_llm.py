@@ -253,7 +253,6 @@ def test_records_round_trip(spark, documents, nothing):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     found = {r["doc_id"]: r for r in records.op7_binary_records(spark, SF).collect()}
     start = 0
     for r in documents.orderBy("doc_id").collect():
