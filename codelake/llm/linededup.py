@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import fresh_dir, read_table, shared_dir
 
 #: Lines of a chunk, and of the neighbourhood in which its first line has the least hash.
-LINES, RADIUS = 11, 5
+LINES, RADIUS = 13, 4
 LONGEST = 200
 #: Ids of rows without a doc_id start here.
 _NAMELESS = 1 << 62

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from codelake.llm import contamination, embeddings, linededup, lm, neardup, packing, quality, records, toxicity
+from codelake.llm import contamination, embeddings, lm, neardup, packing, quality, records, toxicity
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -87,29 +87,6 @@ def test_best_forest_weighs_as_much_as_one_built_edge_by_edge():
         assert share[neardup.best_forest(a, b, share, n)].sum() == pytest.approx(weight)
 
 
-def test_a_shared_passage_stays_once(spark):
-    rng = np.random.default_rng(1)
-    words = lambda n: " ".join("".join(rng.choice(list("abcdefghimnos"), 6)) for _ in range(n))
-    passage, own = words(200), [words(60) for _ in range(3)]
-    rows = docs_of(spark, *(f"{o}\n{passage}\n{words(40)}" for o in own), None, "")
-    found = [r["text"] for r in linededup.remove_repeats(rows).orderBy("doc_id").collect()]
-    assert passage in found[0] and all(o in f for o, f in zip(own, found))
-    assert all(sum(w in f for w in passage.split()) < 80 for f in found[1:3])
-    assert found[3:] == [None, ""]
-
-
-def test_passages_in_any_script_are_found(spark):
-    rng = np.random.default_rng(6)
-    words = lambda letters, n: ["".join(rng.choice(list(letters), 6)) for _ in range(n)]
-    passages = [words("бвгджзкл", 56), [str(x) for x in rng.integers(10**5, 10**6, 60)], words("bcdfgor", 50), words("αβγδικλμ", 50), ["".join(rng.choice([chr(c) for c in range(0x4E00, 0x5E00)], 60))]]
-    for passage in passages:
-        own = [" ".join(words("hijkmpq", 40)) for _ in range(4)]
-        first, second = (r["text"] for r in linededup.remove_repeats(docs_of(spark, *(f"{own[i]} {' '.join(passage)} {own[i + 1]}" for i in (0, 2)))).orderBy("doc_id").collect())
-        parts = passage if len(passage) > 1 else list(passage[0])
-        assert all(w in first for w in parts) and sum(w in second for w in parts) <= len(parts) - 20
-        assert own[2] in second and own[3] in second
-
-
 def test_vector_links_equal_brute_force(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(40, 16))
