@@ -48,6 +48,11 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def ranges_for(docs: DataFrame) -> int:
+    """How many ranges to sort documents into: as many as the input has splits, so that each stays as small as one."""
+    return max(docs.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def id_and_text(docs: DataFrame) -> DataFrame:
     """doc_id as long and the whole text, null as empty; any other columns are left behind."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

@@ -37,6 +37,8 @@ from .shingles import WORDS, mix, seeded, shingle_hashes, split_by, words_of
 THRESHOLD = 0.8
 MISS = 1e-5
 MOST_SIGNATURES = 2_000_000
+#: Up to so many candidate pairs (16 MB) go to the texts; beyond that the texts are shuffled to them.
+MOST_PAIRS = 1_000_000
 
 
 def functions_for(threshold: float = THRESHOLD, miss: float = MISS) -> int:
@@ -164,7 +166,8 @@ def find_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
             rows = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("item_id"), pa.array(n), pa.array(share, pa.float64())], ["doc_id", "item_id", "n_runs", "containment"])
             yield rows.filter(pa.array(share >= threshold))
 
-    held = pairs.join(docs, "doc_id").join(items, "item_id").select("doc_id", "item_id", "text", "item")
+    few = pairs.count() <= MOST_PAIRS
+    held = docs.join(F.broadcast(pairs) if few else pairs, "doc_id").join(items, "item_id").select("doc_id", "item_id", "text", "item")
     return held.mapInArrow(measure, "doc_id long, item_id long, n_runs long, containment double").groupBy("doc_id", "item_id").agg(F.max("n_runs").alias("n_runs"), F.max("containment").alias("containment"))
 
 

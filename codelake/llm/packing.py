@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, id_and_text, read_table, small_batches
+from .common import cut, id_and_text, ranges_for, read_table, small_batches
 from .subwords import subwords
 
 CAPACITY = 1024
@@ -202,9 +202,9 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity:
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to rows that have a length of 1 to `capacity`, doc_id and piece."""
     spark = pieces.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Ranges are chosen from a sample, which would make the pieces a second time.
-    ordered = cut(cut(pieces).repartitionByRange(n, "length", "doc_id", "piece").sortWithinPartitions("length", "doc_id", "piece"))
+    pieces = cut(pieces)
+    ordered = cut(pieces.repartitionByRange(ranges_for(pieces), "length", "doc_id", "piece").sortWithinPartitions("length", "doc_id", "piece"))
     # A row for each range and each length in it: at most as many as there are ranges and lengths together.
     held = ordered.groupBy(F.spark_partition_id().alias("part"), "length").count().orderBy("part", "length").collect()
     totals: dict[int, int] = defaultdict(int)

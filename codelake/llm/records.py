@@ -28,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import fresh_dir, id_and_text, read_table, small_batches
+from .common import fresh_dir, id_and_text, ranges_for, read_table, small_batches
 from .subwords import subwords
 
 MAGIC = b"CLREC\x00\x01\n"
@@ -91,7 +92,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = EN
     """
     spark = docs.sparkSession
     small_batches(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or ranges_for(docs)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -124,7 +125,9 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = EN
         store.move(f"{name}.{attempt}.tmp", f"{name}.rec")
         yield pa.RecordBatch.from_pydict({"part": [part], "file": [f"part-{part:06d}.rec"], "docs": [len(entries)], "tokens": [total]})
 
-    ordered = id_and_text(docs).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    # The text's hash parts rows that share a doc_id, or have none.
+    keys = ["doc_id", F.xxhash64("text")]
+    ordered = id_and_text(docs).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     return ordered.mapInArrow(write, "part long, file string, docs long, tokens long")
 
 
@@ -161,6 +164,40 @@ def read_records(spark: SparkSession, folder: str, files: list) -> DataFrame:
     return spark.createDataFrame(listed, "file string, start long").repartition(len(listed)).mapInArrow(read, schema)
 
 
+def read_index(spark: SparkSession, folder: str, files: list) -> DataFrame:
+    """(file, offset, n_tokens) of every record, from the offset indexes alone; files: the rows of write_records()."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = _store(folder)
+        for batch in batches:
+            for file in batch.column(0).to_pylist():
+                with store.open_input_stream(f"{top}/{file.removesuffix('.rec')}.idx") as source:
+                    entries = np.frombuffer(source.read(), INDEX)
+                columns = [pa.array([file] * len(entries)), *(pa.array(entries[entries.dtype.names[i]].astype(np.int64)) for i in (1, 2))]
+                yield pa.RecordBatch.from_arrays(columns, ["file", "offset", "n_tokens"])
+
+    names = spark.createDataFrame([(row["file"],) for row in files], "file string")
+    return names.repartition(max(len(files), 1)).mapInArrow(read, "file string, offset long, n_tokens long")
+
+
+def read_at(entries: DataFrame, folder: str) -> DataFrame:
+    """(doc_id, ids) of the records at (file, offset), in the order of the rows, whatever that is: a shuffled read."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = _store(folder)
+        for batch in batches:
+            found = []
+            for file, offset in zip(*(c.to_pylist() for c in batch.columns)):
+                with store.open_input_file(f"{top}/{file}") as source:
+                    kind = open_records(source)
+                    source.seek(offset)
+                    found.append(read_record(source, kind))
+            doc_ids, ids = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array([i.tolist() for i in ids], pa.list_(pa.int64()))], ["doc_id", "ids"])
+
+    return entries.select("file", "offset").mapInArrow(read, "doc_id long, ids array<long>")
+
+
 def op7_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from codelake.llm import contamination, embeddings, lm, neardup, packing, quality, records, toxicity
+from codelake.llm import contamination, embeddings, lm, neardup, quality, toxicity
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -225,33 +225,6 @@ def test_each_phrase_of_the_patterns_fires_its_voter(text):
     assert hits[4] + hits[5] >= 1
 
 
-def test_records_round_trip(spark, documents, nothing):
-    import public_tokenizers
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    found = {r["doc_id"]: r for r in records.op7_binary_records(spark, SF).collect()}
-    start = 0
-    for r in documents.orderBy("doc_id").collect():
-        ids = np.array(t.encode(r["text"] or "", add_special_tokens=False).ids + [0], "<u4")
-        assert (found[r["doc_id"]]["start"], found[r["doc_id"]]["n_tokens"], found[r["doc_id"]]["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes()))
-        start += len(ids)
-
-
-def test_packing_is_gapless_and_full(spark, nothing):
-    rows = packing.op10_best_fit_packing(spark, SF).collect()
-    sequences = {}
-    for r in rows:
-        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
-    for pieces in sequences.values():
-        at = 0
-        for offset, length in sorted(pieces):
-            assert offset == at
-            at += length
-        assert at <= 1024
-    assert len(sequences) <= 1.02 * -(-sum(r["length"] for r in rows) // 1024)
-
-
 def test_pipeline_returns_packed_pieces(spark):
     import corpus_pipeline
 
