@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,6 +12,12 @@ from .operators.mining import behavior_code
 from .plans.views import VIEWS
 from .sources.entities import BUILDERS, Tree
 
+VERSION = "0.2"
+# What tells a table's rows apart, and which columns point where.
+UNIQUE_KEYS = {
+    "level": ["level_name"], "course": ["course_name"], "behavior": ["behavior_name"], "model": ["model_name"], "sequence": ["seq_name"], "dialog": ["dialog_name"],
+    "mario_animation": ["anim_name"], "course_name": ["course_name"], "macro_preset": ["macro_name"], "special_preset": ["preset_name"], "mario_action": ["action_name"], "save_struct": ["struct_name"],
+}
 #: (table, column, table it points to, column there); audits report rows that point nowhere, nothing fails.
 FOREIGN_KEYS = [
     ("object", "level", "level", "folder"), ("object", "behavior", "behavior", "behavior_name"), ("object", "model_name", "model", "model_name"),
@@ -56,6 +63,33 @@ def views(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return found
 
 
+def repeated(tables: dict[str, DataFrame], name: str) -> DataFrame:
+    """Keys that more than one row of a table has, with the number of rows; nulls don't count."""
+    key = UNIQUE_KEYS[name]
+    return tables[name].dropna(subset=key).groupBy(*key).count().filter("count > 1")
+
+
+def listing(tables: dict[str, DataFrame]) -> list[tuple[str, str, int]]:
+    """(name, table or view, rows), tables first."""
+    own, derived = sorted(tables.items()), sorted(views(tables).items())
+    return [(name, "table", df.count()) for name, df in own] + [(name, "view", df.count()) for name, df in derived]
+
+
+def columns(tables: dict[str, DataFrame]) -> list[tuple[str, str, str]]:
+    """(table or view, column, type)."""
+    return [(name, field.name, field.dataType.simpleString()) for name, df in sorted((tables | views(tables)).items()) for field in df.schema]
+
+
+def outgoing(name: str) -> list[tuple[str, str, str]]:
+    """(column, table, column there) of the keys by which a table points to others."""
+    return [(column, parent, key) for child, column, parent, key in FOREIGN_KEYS if child == name]
+
+
+def incoming(name: str) -> list[tuple[str, str, str]]:
+    """(column, table, column there) of the keys by which others point to a table."""
+    return [(key, child, column) for child, column, parent, key in FOREIGN_KEYS if parent == name]
+
+
 def orphans(tables: dict[str, DataFrame], child: str, column: str, parent: str, key: str) -> DataFrame:
     """Values of a foreign key that no row of the parent has, with the number of rows."""
     known = tables[parent].select(tables[parent][key].alias(column))
@@ -89,7 +123,13 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("-r", "--repo", required=True, help="the tree's folder")
     parser.add_argument("-d", "--db", help="folder for the tables; without it they are only counted")
     parser.add_argument("-o", "--overwrite", action="store_true", help="replace tables that are there")
+    parser.add_argument("--version", action="version", version=f"codelake {VERSION}")
     args = parser.parse_args(argv)
+    if "://" not in args.repo:  # Spark reads other stores, and says itself what is missing there
+        if not os.path.exists(args.repo):
+            raise FileNotFoundError(f"there is no {args.repo}")
+        if not os.path.isdir(args.repo):
+            raise NotADirectoryError(f"{args.repo} is no folder")
     spark = SparkSession.builder.appName("codelake").getOrCreate()
     tables = build(spark, args.repo)
     if args.db:

@@ -22,20 +22,21 @@ def cut(df: DataFrame) -> DataFrame:
 def reachable(edges: DataFrame, roots: DataFrame, leaves: DataFrame | None = None) -> DataFrame:
     """(root, node) for all nodes that a root of roots (root) reaches, itself included.
 
-    Nodes of leaves (node) are reached but not followed. Each round joins only
-    what the last one has found (semi-naive), so cycles end.
+    Nodes of leaves (node) are reached but not followed. Each round follows only
+    what the last one has found (semi-naive), so cycles end; one aggregate both
+    drops what was known and keeps the round in which a node was found.
     """
     edges = edges.select("src", "dst").distinct()
     if leaves is not None:
         edges = edges.join(leaves.select(F.col("node").alias("src")), "src", "left_anti")
     edges = cut(edges)
-    seen = cut(roots.select("root", F.col("root").alias("node")).distinct())
-    new = seen
-    while not new.isEmpty():
-        found = new.join(edges, new["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
-        new = cut(found.join(seen, ["root", "node"], "left_anti"))
-        seen = seen.unionByName(new)
-    return seen
+    seen = cut(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("round")).distinct())
+    n = 0
+    while not (new := seen.filter(F.col("round") == n)).isEmpty():
+        n += 1
+        found = new.join(edges, new["node"] == edges["src"]).select("root", F.col("dst").alias("node"), F.lit(n).alias("round"))
+        seen = cut(seen.unionByName(found).groupBy("root", "node").agg(F.min("round").alias("round")))
+    return seen.select("root", "node")
 
 
 def degrees(edges: DataFrame) -> DataFrame:

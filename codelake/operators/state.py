@@ -22,3 +22,16 @@ def zip_by_place(left: DataFrame, right: DataFrame, left_order: list[str], right
     """Joins the n-th rows of two small lists, such as an enum and the array it numbers."""
     number = lambda df, order: df.withColumn("place", F.row_number().over(Window.orderBy(*order)) - 1)
     return number(left, left_order).join(number(right, right_order), "place")
+
+
+def not_in(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
+    """The rows that SQL's NOT IN keeps, of a one-column table of values.
+
+    A null among the values leaves nothing; a null in the column stays only if there
+    are no values at all. An anti join by the key and one row of counts, so that no
+    side has to fit into memory.
+    """
+    [name] = values.columns
+    counts = values.agg(F.count("*").alias("_n"), F.count_if(F.col(name).isNull()).alias("_nulls"))
+    rows = df.join(values.select(F.col(name).alias("_value")), F.col(column) == F.col("_value"), "left_anti")
+    return rows.crossJoin(F.broadcast(counts)).filter((F.col("_n") == 0) | ((F.col("_nulls") == 0) & F.col(column).isNotNull())).drop("_n", "_nulls")

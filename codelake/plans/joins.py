@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.state import not_in
 from .registry import Tables, query
 
 
@@ -73,10 +74,9 @@ def q15_semi_join(t: Tables) -> DataFrame:
 @query("""SELECT s_suppkey, s_nationkey FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0)
 AND s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9990) AND s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity = 1 AND l_discount = 0)""")
 def q16_not_in_subquery_chain(t: Tables) -> DataFrame:
-    out = t.supplier.select("s_suppkey", "s_nationkey")
-    out = out.join(t.nation.filter("n_regionkey = 0"), F.col("s_nationkey") == F.col("n_nationkey"), "left_anti")
-    out = out.join(t.customer.filter("c_acctbal > 9990"), F.col("s_nationkey") == F.col("c_nationkey"), "left_anti")
-    return out.join(t.lineitem.filter("l_quantity = 1 and l_discount = 0"), F.col("s_suppkey") == F.col("l_suppkey"), "left_anti")
+    out = not_in(t.supplier.select("s_suppkey", "s_nationkey"), "s_nationkey", t.nation.filter("n_regionkey = 0").select("n_nationkey"))
+    out = not_in(out, "s_nationkey", t.customer.filter("c_acctbal > 9990").select("c_nationkey"))
+    return not_in(out, "s_suppkey", t.lineitem.filter("l_quantity = 1 and l_discount = 0").select("l_suppkey"))
 
 
 @query("""SELECT event_id, slot, symbol FROM (SELECT event_id, unnest([event_type, 'u' || user_id, props]) AS symbol, unnest([0, 1, 2]) AS slot FROM events)

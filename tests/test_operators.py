@@ -47,3 +47,11 @@ def test_lines_keep_their_numbers(spark, tmp_path):
     (place / "a.inc.c").write_text("#ifdef X\nA(1)\n#endif\nB(2)")
     rows = lines.with_level_and_area(lines.lines(lines.files(spark, str(tmp_path), "*.c", strip_conditionals=True))).orderBy("line").collect()
     assert [(r["line"], r["text"], r["level"], r["area"]) for r in rows] == [(1, "", "cove", 2), (2, "A(1)", "cove", 2), (3, "", "cove", 2), (4, "B(2)", "cove", 2)]
+
+
+def test_not_in_goes_by_sqls_rules_for_nulls(spark):
+    from codelake.operators.state import not_in
+
+    rows = spark.createDataFrame([(1,), (2,), (None,)], "a int")
+    kept = lambda *values: sorted((r["a"] for r in not_in(rows, "a", spark.createDataFrame([(v,) for v in values], "v int")).collect()), key=str)
+    assert kept(2, 3) == [1] and kept(2, None) == [] and kept() == [1, 2, None]

@@ -110,3 +110,22 @@ def test_every_question_has_an_answer(spark, t):
     assert ask("commands_naming", symbol="MODEL_COIN")[0][0] == "bhvCrab" and ask("spawners_of", word="coin")[0][0] == "bhvCrab"
     with pytest.raises(ValueError, match="no parameter"):
         gallery.ask(spark, "commands", behavior="x")
+
+
+def test_catalogue(t, tmp_path):
+    own = {k: v for k, v in t.items() if k not in build.VIEWS}
+    listed = build.listing(own)
+    assert len(listed) == len(own) + len(build.VIEWS) and ("level", "table", 2) in listed and any(kind == "view" for _, kind, _ in listed)
+    assert ("level", "folder", "string") in build.columns(own)
+    assert ("level", "level", "folder") in build.outgoing("object") and ("folder", "object", "level") in build.incoming("level")
+    assert all(build.repeated(own, name).isEmpty() for name in ("level", "course", "dialog", "macro_preset"))
+    twice = {"level": own["level"].union(own["level"])}
+    assert build.repeated(twice, "level").count() == 2
+    with pytest.raises(FileNotFoundError):
+        build.main(["-r", str(tmp_path / "none")])
+    (tmp_path / "file").write_text("x")
+    with pytest.raises(NotADirectoryError):
+        build.main(["-r", str(tmp_path / "file")])
+    with pytest.raises(SystemExit) as left:
+        build.main(["--version"])
+    assert left.value.code == 0
