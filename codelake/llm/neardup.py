@@ -16,13 +16,17 @@ least doc_id. Representatives that agree on a band share a bucket. Every member
 is compared with its bucket's least member by exact Jaccard similarity of runs
 (linked from `threshold` on), and components are taken. Buckets that still hold
 several components go through a second pass: in blocks of bounded size, every two
-members that aren't joined yet and whose sketches agree on LEAST_SHARE or more
+members that aren't joined yet and whose sketches agree on `least_share` or more
 are compared exactly, within the block's task, so that no list of a bucket's pairs
-is made. Of pairs with a similarity of 0.8 sketches part about one in 10,000.
+is made. Of pairs with a similarity of 0.8 sketches part about one in 10,000; a
+`least_share` of 0 compares all of them. With `weights="count"` the similarity is the
+weighted one: the sum of the lesser counts over that of the greater ones.
 
 Null, empty and blank texts have no words: they link with nothing and are kept.
-Texts of one to four words have one run, all their words. Repeated rows share a
-doc_id and so a class, of which all or none are kept. Other columns are ignored.
+Texts of one to four words have one run, all their words. Very long texts are read
+whole. Repeated rows share a doc_id and so a class, of which all or none are kept.
+Rows with a null doc_id are in no class and kept. An empty table gives an empty
+result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -143,8 +147,21 @@ def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, weights: str = "
     return id_and_text(docs).mapInArrow(run, "doc_id long, digest binary, bands array<long>, sketch binary")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose texts have a Jaccard similarity of runs of `threshold` or more."""
+def run_sets(texts: list[str], weights: str = "set") -> list[np.ndarray]:
+    """The runs of each text as sets, sorted. With weights "count" the k-th time that a run occurs is an element of
+    its own, so that the Jaccard similarity of the sets is the weighted one of the counts."""
+    sets = []
+    for runs in split_by(*shingle_hashes([words_of(t) for t in texts])):
+        if weights == "count":
+            runs = np.sort(runs)
+            again = (np.arange(len(runs)) - np.searchsorted(runs, runs)).astype(np.uint64)
+            runs = np.where(again > 0, mix(runs ^ (again * seeded(17))), runs)
+        sets.append(np.unique(runs))
+    return sets
+
+
+def verify(pairs: DataFrame, docs: DataFrame, threshold: float, weights: str = "set") -> DataFrame:
+    """The pairs (a, b) whose texts have a (weighted) Jaccard similarity of runs of `threshold` or more."""
     ids = pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("doc_id"))
     texts = id_and_text(docs).join(ids, "doc_id")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
@@ -153,10 +170,7 @@ def verify(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, text_a, text_b = (batch.column(n) for n in ("a", "b", "text_a", "text_b"))
-            sets = []
-            for column in (text_a, text_b):
-                runs, counts = shingle_hashes([words_of(t) for t in column.to_pylist()])
-                sets.append([np.unique(r) for r in split_by(runs, counts)])
+            sets = [run_sets(column.to_pylist(), weights) for column in (text_a, text_b)]
             like = []
             for x, y in zip(*sets):
                 both = len(np.intersect1d(x, y, assume_unique=True))
@@ -167,45 +181,14 @@ def verify(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def best_forest(a: np.ndarray, b: np.ndarray, share: np.ndarray, nodes: int) -> np.ndarray:
-    """Which of the edges (a, b) make a maximum spanning forest; ties go to the first edge.
-
-    Every tree picks its best edge outwards, all at once, until none is left.
-    """
-    rank = np.empty(len(a), np.int64)
-    rank[np.argsort(-share, kind="stable")] = np.arange(len(a))
-    edge_at = np.argsort(rank)
-    tree, chosen, open_ = np.arange(nodes), np.zeros(len(a), bool), np.arange(len(a))
-    while True:
-        x, y = tree[a[open_]], tree[b[open_]]
-        apart = x != y
-        open_, x, y = open_[apart], x[apart], y[apart]
-        if not len(open_):
-            return chosen
-        best = np.full(nodes, len(a))
-        np.minimum.at(best, x, rank[open_])
-        np.minimum.at(best, y, rank[open_])
-        picked = edge_at[np.unique(best[best < len(a)])]
-        chosen[picked] = True
-        x, y = tree[a[picked]], tree[b[picked]]
-        while True:  # the trees that picked edges join, down to the least number
-            low = np.minimum(tree[x], tree[y])
-            new = np.arange(nodes)
-            np.minimum.at(new, tree[x], low)
-            np.minimum.at(new, tree[y], low)
-            if (new == np.arange(nodes)).all():
-                break
-            tree = new[tree]
-
-
-def _block_links(members: DataFrame, threshold: float) -> DataFrame:
+def _block_links(members: DataFrame, threshold: float, weights: str, least_share: float) -> DataFrame:
     """Pairs of `threshold` or more that join each block's components as far as any of its pairs do."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
         tree = np.unique(table.column("component").to_numpy(), return_inverse=True)[1]
         sketch = np.stack([np.frombuffer(s, "<u2") for s in table.column("sketch").to_pylist()])
-        own = [np.unique(r) for r in split_by(*shingle_hashes([words_of(t) for t in table.column("text").to_pylist()]))]
+        own = run_sets(table.column("text").to_pylist(), weights)
         sizes = np.array([len(r) for r in own], np.int64)
         runs = np.unique(np.concatenate(own), return_inverse=True)[1]  # numbered within the block
         starts = np.cumsum(sizes) - sizes
@@ -213,7 +196,7 @@ def _block_links(members: DataFrame, threshold: float) -> DataFrame:
         a, b = [], []
         for i in range(len(ids) - 1):
             near = np.flatnonzero(tree[i + 1 :] != tree[i]) + i + 1
-            near = near[(sketch[near] == sketch[i]).mean(axis=1, dtype=np.float32) >= LEAST_SHARE]
+            near = near[(sketch[near] == sketch[i]).mean(axis=1, dtype=np.float32) >= least_share]
             held[runs[starts[i] : starts[i] + sizes[i]]] = True
             for part in np.split(near, np.flatnonzero(np.diff(np.cumsum(sizes[near]) // LOOK)) + 1):
                 part = part[tree[part] != tree[i]]
@@ -234,17 +217,17 @@ def _block_links(members: DataFrame, threshold: float) -> DataFrame:
     return members.groupBy("band", "key", "block_a", "block_b").applyInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weights: str = "set") -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weights: str = "set", least_share: float = LEAST_SHARE) -> DataFrame:
     """doc_id, class_id (least doc_id of its class), kept (whether it stays): a row for each row."""
     signed = cut(sign(docs, bands, rows, weights))
     # Equal words: one representative. Grouped by digest with a partial step, so no group is gathered.
-    equal = signed.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
+    equal = signed.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
     equal = cut(equal)
     keys = equal.select("id", F.posexplode("bands").alias("band", "key"))
     shared = keys.groupBy("band", "key").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
     members = cut(keys.join(shared, ["band", "key"]))
     stars = members.filter("id != least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
-    links = cut(verify(stars, docs, threshold))
+    links = cut(verify(stars, docs, threshold, weights))
     groups = components(links)
 
     placed = members.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -252,12 +235,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     open_ = cut(placed.join(several, ["band", "key"]).select("band", "key", "id", "component"))
     needed = equal.select("id", "sketch").join(open_.select("id").distinct(), "id")
     texts = id_and_text(docs).withColumnRenamed("doc_id", "id")
-    weights = texts.select("id", F.greatest(F.lit(1.0), F.length("text") / ROW_CHARS).alias("weight")).groupBy("id").agg(F.sum("weight").alias("weight"))
-    blocks = paired_blocks(open_.join(weights, "id"), ["band", "key"], "id", BLOCK, "weight").drop("weight")
-    groups = components(links.union(_block_links(blocks.join(texts.join(needed, "id"), "id"), threshold)))
+    sizes = texts.select("id", F.greatest(F.lit(1.0), F.length("text") / ROW_CHARS).alias("weight")).groupBy("id").agg(F.sum("weight").alias("weight"))
+    blocks = paired_blocks(open_.join(sizes, "id"), ["band", "key"], "id", BLOCK, "weight").drop("weight")
+    groups = components(links.union(_block_links(blocks.join(texts.join(needed, "id"), "id"), threshold, weights, least_share)))
 
     classes = equal.select("digest", "id").join(groups, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("component", "id").alias("class_id"))
-    out = signed.select("doc_id", "digest").join(classes, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    out = signed.select("doc_id", "digest").join(classes, "digest", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 

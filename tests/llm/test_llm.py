@@ -74,17 +74,35 @@ def test_near_duplicates_on_odd_rows(spark, nothing):
     assert neardup.near_duplicates(nothing).count() == 0
 
 
-def test_best_forest_weighs_as_much_as_one_built_edge_by_edge():
-    rng = np.random.default_rng(0)
-    for _ in range(50):
-        n, m = int(rng.integers(2, 12)), int(rng.integers(1, 40))
-        a, b, share = rng.integers(0, n, m), rng.integers(0, n, m), np.round(rng.random(m), 1)
-        tree, weight = list(range(n)), 0.0
-        for e in np.argsort(-share, kind="stable"):
-            x, y = tree[a[e]], tree[b[e]]
-            if x != y:
-                tree, weight = [x if t == y else t for t in tree], weight + share[e]
-        assert share[neardup.best_forest(a, b, share, n)].sum() == pytest.approx(weight)
+def weighted_runs(text):
+    words = (text or "").lower().split()
+    return Counter(tuple(words[i : i + 5]) for i in range(max(len(words) - 4, min(len(words), 1))))
+
+
+def test_weighted_near_duplicates_equal_brute_force(spark):
+    rng = np.random.default_rng(11)
+    texts = []
+    for _ in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 10**6, 60)]
+        for times in (1, 1, 2, 3, 8):  # as sets of runs these are alike, by counts not all of them
+            texts.append(" ".join(base + base[:30] * times))
+    n = [weighted_runs(t) for t in texts]
+    group = list(range(1, len(texts) + 1))
+    for a in range(len(texts)):
+        for b in range(a):
+            if group[a] != group[b] and (n[a] & n[b]).total() >= 0.8 * (n[a] | n[b]).total():
+                low, high = sorted((group[a], group[b]))
+                group = [low if g == high else g for g in group]
+    found = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs_of(spark, *texts), weights="count", least_share=0.0).collect()}
+    assert [found[i] for i in range(1, len(texts) + 1)] == group
+
+
+def test_near_duplicates_of_odd_rows_and_columns(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, long, 1, "k"), (2, long + " end", 2, "k"), (2, long + " end", 2, "k"), (3, "a b c d e f", 3, "k"), (None, "a b c d e f", 4, "k"), (None, None, 5, "k")]
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, class_id int, band string")).collect()
+    want = [("1", "1", True), ("2", "1", False), ("2", "1", False), ("3", "3", True), ("None", "None", True), ("None", "None", True)]
+    assert sorted((str(r["doc_id"]), str(r["class_id"]), r["kept"]) for r in found) == want
 
 
 def test_vector_links_equal_brute_force(spark):
