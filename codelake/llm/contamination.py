@@ -18,8 +18,10 @@ they are under MOST_SIGNATURES numbers; beyond that, segment signatures are
 joined with them by key. Both give the same rows.
 
 Null and empty documents hold no item. Items of under five words (null ones
-too) have no run of five and are never found. Repeated rows give repeated pairs
-once. Ids that are null are left out. Other columns are ignored.
+too) have no run of five and are never found: a single word stands in too many
+clean documents. Very long texts are read whole. Repeated rows give repeated pairs
+once, and of rows that share an id any one that holds the item counts. Ids that are
+null are left out. Empty tables give an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
