@@ -11,3 +11,19 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(scope="session")
+def tables(spark, tmp_path_factory):
+    """The tables of the small source tree, built once and saved."""
+    from test_tree import FILES
+
+    from codelake import build
+
+    root = tmp_path_factory.mktemp("tree")
+    for name, text in FILES.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    made, folder = build.build(spark, str(root)), str(tmp_path_factory.mktemp("saved"))
+    build.save(made, folder)
+    return build.open_saved(spark, folder, list(made))

@@ -6,15 +6,12 @@ from pyspark.sql import functions as F
 from codelake import build
 from codelake.plans import gallery, tabs
 
-from test_tree import rows, tables  # noqa: F401  the fixture
+from test_tree import rows
 
 
 @pytest.fixture(scope="module")
-def t(spark, tables, tmp_path_factory):  # noqa: F811
-    folder = str(tmp_path_factory.mktemp("saved"))
-    build.save(tables, folder)
-    kept = build.open_saved(spark, folder, list(tables))
-    return kept | build.views(kept)
+def t(tables):
+    return tables | build.views(tables)
 
 
 def every(df, *columns):

@@ -166,15 +166,6 @@ struct Unused {
 }
 
 
-@pytest.fixture(scope="module")
-def tables(spark, tmp_path_factory):
-    root = tmp_path_factory.mktemp("tree")
-    for name, text in FILES.items():
-        (root / name).parent.mkdir(parents=True, exist_ok=True)
-        (root / name).write_text(text)
-    return build.build(spark, str(root))
-
-
 def rows(df, *columns, order=None):
     return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
 
