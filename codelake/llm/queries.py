@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import contamination, embeddings, linededup, lm, neardup, packing, quality, records, secrets, toxicity, whitening
+from . import contamination, embeddings, linededup, lm, neardup, packing, quality, records, secrets, spelling, toxicity, whitening
 
 QUERIES = {
     f.__name__: f
@@ -18,6 +18,7 @@ QUERIES = {
         secrets.op9_secret_scan,
         packing.op10_best_fit_packing,
         whitening.op12_embedding_whitening,
+        spelling.op13_spelling_variants,
     )
 }
 
