@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import contamination, embeddings, linededup, lm, neardup, packing, quality, records, secrets, spelling, toxicity, whitening
+from . import contamination, embeddings, licences, linededup, lm, neardup, packing, quality, records, secrets, spelling, toxicity, whitening
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         toxicity.op8_toxicity,
         secrets.op9_secret_scan,
         packing.op10_best_fit_packing,
+        licences.op11_licence_scan,
         whitening.op12_embedding_whitening,
         spelling.op13_spelling_variants,
     )
