@@ -1,4 +1,4 @@
-"""All tables and views of a source tree: build(), save(), open_saved(), and the command line."""
+"""All tables and views of a source tree: build(), save(), open_saved(), workspace(), and the command line."""
 
 from __future__ import annotations
 
@@ -8,8 +8,10 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators.actions import state_machine
+from .operators.keys import dangling
 from .operators.mining import behavior_code
 from .plans.views import VIEWS
+from .snapshots import Workspace, load, save
 from .sources.entities import BUILDERS, Tree
 
 VERSION = "0.2"
@@ -96,6 +98,11 @@ def orphans(tables: dict[str, DataFrame], child: str, column: str, parent: str,
     return tables[child].filter(tables[child][column].isNotNull()).join(known, column, "left_anti").groupBy(column).count()
 
 
+def audit(tables: dict[str, DataFrame]) -> DataFrame:
+    """(key, dangling, different): all foreign keys whose tables are there, by one aggregation."""
+    return dangling(tables, [key for key in FOREIGN_KEYS if key[0] in tables and key[2] in tables])
+
+
 def joined(tables: dict[str, DataFrame], child: str, column: str, limit: int = 20) -> DataFrame:
     """A look at a table beside the one that a key of it points to."""
     parent, key = next((p, k) for c, col, p, k in FOREIGN_KEYS if (c, col) == (child, column))
@@ -109,13 +116,13 @@ def register(tables: dict[str, DataFrame]) -> None:
         df.createOrReplaceTempView(name)
 
 
-def save(tables: dict[str, DataFrame], folder: str, overwrite: bool = False) -> None:
-    for name, df in tables.items():
-        df.write.mode("overwrite" if overwrite else "errorifexists").parquet(f"{folder.rstrip('/')}/{name}")
+def open_saved(spark: SparkSession, folder: str, names: list[str] | None = None, version: int | None = None) -> dict[str, DataFrame]:
+    return load(spark, folder, names, version)
 
 
-def open_saved(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{folder.rstrip('/')}/{name}") for name in names}
+def workspace(spark: SparkSession, folder: str, version: int | None = None) -> Workspace:
+    """Saved tables under their names in spark.sql, with their views; they may be edited, reset and saved again."""
+    return Workspace(spark, folder, version, register)
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.keys import dangling
 from ..operators.state import not_in
 from .registry import Tables, query
 
@@ -104,11 +105,5 @@ FOREIGN_KEYS = (
 
 @query(" UNION ALL ".join(f"SELECT '{c}.{k}' AS key, COUNT(*) AS dangling FROM {c} WHERE {k} IS NOT NULL AND {k} NOT IN (SELECT {pk} FROM {p} WHERE {pk} IS NOT NULL)" for c, k, p, pk in FOREIGN_KEYS))
 def q60_fk_audit(t: Tables) -> DataFrame:
-    def dangling(child: str, key: str, parent: str, parent_key: str) -> DataFrame:
-        keys = getattr(t, child).select(F.col(key).cast("long").alias("k")).filter("k is not null")
-        return keys.join(getattr(t, parent).select(F.col(parent_key).cast("long").alias("k")), "k", "left_anti").agg(F.count("*").alias("dangling")).select(F.lit(f"{child}.{key}").alias("key"), "dangling")
-
-    out = None
-    for fk in FOREIGN_KEYS:
-        out = dangling(*fk) if out is None else out.union(dangling(*fk))
-    return out
+    tables = {name: getattr(t, name) for name in sorted({n for key in FOREIGN_KEYS for n in (key[0], key[2])})}
+    return dangling(tables, FOREIGN_KEYS, "long").select("key", "dangling")
