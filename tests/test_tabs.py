@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codelake import build
-from codelake.plans import gallery, tabs
+from codelake.plans import tabs
 
 from test_tree import rows
 
@@ -97,18 +97,6 @@ def test_labels(spark):
     assert label(tabs.degrees(F.lit(16384))) == 90 and label(tabs.heat(F.lit(4), F.lit(16))) == 0.5 and label(tabs.radius(F.lit(100), 4, 1.5, 3.5, 12)) == 12
 
 
-def test_every_question_has_an_answer(spark, t):
-    build.register({k: v for k, v in t.items() if k not in build.VIEWS})
-    for name in gallery.QUESTIONS:
-        gallery.ask(spark, name).collect()
-    ask = lambda name, **v: [tuple(r) for r in gallery.ask(spark, name, **v).collect()]
-    assert ask("most_placed", top=1) == [("bhvCrab", 2)] and ask("script_of", behavior="bhvCoin")[0][:2] == (0, "LOAD_COLLISION_DATA")
-    assert ask("objects_of_list", list="OBJ_LIST_PUSHABLE") == [("cove", "bhvCrab")] * 2
-    assert ask("commands_naming", symbol="MODEL_COIN")[0][0] == "bhvCrab" and ask("spawners_of", word="coin")[0][0] == "bhvCrab"
-    with pytest.raises(ValueError, match="no parameter"):
-        gallery.ask(spark, "commands", behavior="x")
-
-
 def test_catalogue(t, tmp_path):
     own = {k: v for k, v in t.items() if k not in build.VIEWS}
     listed = build.listing(own)
