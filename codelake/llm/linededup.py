@@ -1,42 +1,54 @@
-"""Operator 2: passages that recur, found by content-defined chunks of lines.
-
-Many texts stand on one long line, so the lines that are hashed here are short ones:
-a text is cut at every blank. One that has a piece of more than LONGEST bytes then is
-cut after any white space instead, and in scripts that set none (Han, kana, Thai and
-their like) after each character of every other block of them.
-
-A line whose hash is the least of those up to RADIUS before and behind it starts a
-chunk, as do a text's first line and its LINES-th from the end; a chunk is LINES lines
-in a row. Where chunks start therefore depends on the lines near by and not on what
-precedes a passage, so it has the same chunks wherever it stands: one every
-2 * RADIUS + 1 lines on average, each lapping over the next.
+"""Operator 2: repeated lines and passages, found by content-defined chunks of lines.
+
+A text is cut at its line ends. A line of more than LONGEST bytes is cut further, into
+its words, which are the lines of what follows inside it; a word that is that long (in
+scripts that set no blanks: Han, kana, Thai and their like) after any white space and
+after each character of every other block of such scripts. Blank lines belong to the
+line before them. Each line has a hash, without its end.
+
+Chunks come in two kinds. Whole lines: a rolling hash over the hashes of PAIR lines in a
+row is taken at every line, so that a chunk starts at each and no shift of what stands
+around hides a repeat. All that recurs and is PAIR lines long or longer is therefore
+found, to the line. Inside long lines: a rolling hash (a cyclic polynomial: hashes are
+turned by a bit for each place and added without carry) over WINDOW words in a row is
+taken at every word; one that is the least of those up to RADIUS before and behind it
+starts a chunk of WORDS words, as do a long line's first word and its WORDS-th from the
+end. Where chunks start there depends on the words near by and not on what precedes a
+passage, so it has the same chunks wherever it stands: one every 2 * RADIUS + 1 words
+on average, each lapping over the next. The ends of a passage, some words each, lie in
+no chunk of its own and stay.
 
 Chunks with a hash that occurs once are left alone. The texts of the others are
 compared byte by byte: a hash under which two different texts stand removes nothing.
 Of each chunk the first occurrence, by doc_id and place, stays, and the lines of all
 others go. Whatever is removed thus still stands somewhere: the lines of the first
-occurrence go only where another chunk over them has an earlier one.
+occurrence go only where another chunk over them has an earlier one. A single line that
+recurs between other lines stays, unless it is long.
 
 Everything is built from Spark's own functions. Null texts count as empty; they and
-texts of under LINES lines stay as they are. Rows with a null doc_id come last and
-are told apart by their text. Repeated rows get the same result each and count once.
-Of rows with one doc_id and other texts, what both hold stays in both. Very long
-texts are cut like any other. An empty table gives an empty result. A document may
-lose all of its text; it then stays with an empty text. Other columns pass through,
-whatever their names are; `n_chars`, if there is one, is set to the new length where
-the text has changed.
+texts of one short line stay as they are. Rows with a null doc_id come last and are
+told apart by their text. Repeated rows get the same result each and count once. Of
+rows with one doc_id and other texts, what both hold stays in both. Very long texts are
+cut like any other. An empty table gives an empty result. A document may lose all of
+its text; it then stays with an empty text. Other columns pass through, whatever their
+names are; `n_chars`, if there is one, is set to the new length where the text has
+changed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh_dir, read_table, shared_dir
 
-#: Lines of a chunk, and of the neighbourhood in which its first line has the least hash.
-LINES, RADIUS = 13, 4
-LONGEST = 200
+#: Lines of the smallest chunk of whole lines; bytes of a line from which on it is cut into words.
+PAIR, LONGEST = 2, 160
+#: Words of a chunk inside a long line, of the rolling hash, and of the neighbourhood in which it is the least.
+WORDS, WINDOW, RADIUS = 13, 3, 4
 #: Ids of rows without a doc_id start here.
 _NAMELESS = 1 << 62
 
@@ -45,21 +57,53 @@ UNSPACED = ((0x0E00, 0x0EFF, 4), (0x1000, 0x109F, 4), (0x1780, 0x17FF, 4), (0x30
 EVERY_OTHER = "".join(rf"\x{{{c:X}}}-\x{{{c + n - 1:X}}}" for lo, hi, n in UNSPACED for c in range(lo, hi + 1, 2 * n))
 
 
-def with_lines(docs: DataFrame, text: Column) -> DataFrame:
-    """Adds `lines`, those of a text, and `between`: what joins them to the text again."""
-    # Columns of their own, so that no line is cut anew for each use.
-    d = docs.withColumn("_text", text).withColumn("lines", F.split("_text", " "))
-    d = d.withColumn("long", F.exists("lines", lambda line: F.octet_length(line) > LONGEST))
-    lines = F.when(F.col("long"), F.split("_text", rf"(?<=\s|[{EVERY_OTHER}])")).otherwise(F.col("lines"))
-    return d.withColumn("lines", lines).withColumn("between", F.when(F.col("long"), "").otherwise(" ")).drop("_text", "long")
+def _ends(unit: Column) -> Column:
+    return F.endswith(unit, F.lit("\n"))
+
+
+def with_units(docs: DataFrame, text: Column) -> DataFrame:
+    """Adds `units`, the lines of a text and the words of its long lines, each line's last with a line end, and `between`: what joins words again."""
+    # Columns of their own, so that no text is cut anew for each use.
+    d = docs.withColumn("_text", text).withColumn("_lines", F.split("_text", "\n"))
+
+    def units(cut: Callable[[Column], Column]) -> Column:
+        whole = lambda line: F.concat(line, F.lit("\n"))
+        return F.flatten(F.transform("_lines", lambda line: F.when(F.octet_length(line) > LONGEST, cut(whole(line))).otherwise(F.array(whole(line)))))
+
+    d = d.withColumn("_units", units(lambda line: F.split(line, " ")))
+    d = d.withColumn("_wide", F.exists("_units", lambda u: F.octet_length(u) > LONGEST + 1))
+    pieces = units(lambda line: F.filter(F.split(line, rf"(?<=\s|[{EVERY_OTHER}])"), lambda u: u != ""))
+    d = d.withColumn("units", F.when(F.col("_wide"), pieces).otherwise(F.col("_units"))).withColumn("between", F.when(F.col("_wide"), "").otherwise(" "))
+    return d.drop("_text", "_lines", "_units", "_wide")
+
+
+def _bare(unit: Column) -> Column:
+    return F.when(_ends(unit), F.rtrim(unit, F.lit("\n"))).otherwise(unit)
+
+
+def _hashes(units: Column) -> Column:
+    return F.transform(units, lambda u: F.xxhash64(_bare(u)))
+
 
+def _chunk_hash(hashes: Column) -> Column:
+    """Of the hashes of a chunk's units; blank ones don't count."""
+    return F.xxhash64(F.filter(hashes, lambda h: h != F.xxhash64(F.lit(""))))
 
-def _chunk(i: Column) -> Column:
-    return F.slice("lines", i + 1, LINES)
 
+def _hash_of(units: Column) -> Column:
+    return _chunk_hash(_hashes(units))
 
-def _hash_of(chunk: Column) -> Column:
-    return F.xxhash64(F.transform(chunk, lambda line: F.xxhash64(line)))
+
+def _text_of(units: Column) -> Column:
+    return F.array_join(F.filter(F.transform(units, _bare), lambda u: u != ""), " ")
+
+
+def _units_of(chunk: Column) -> Column:
+    return F.slice("units", chunk["i"] + 1, chunk["n"])
+
+
+def _turned(h: Column, by: int) -> Column:
+    return F.shiftleft(h, by).bitwiseOR(F.shiftrightunsigned(h, 64 - by)) if by else h
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -70,29 +114,40 @@ def _identified(docs: DataFrame) -> DataFrame:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """(uid, i, h): of each chunk the number of its first line and its hash; docs: (uid, text)."""
-    d = with_lines(docs, F.col("text")).select("uid", F.transform("lines", lambda line: F.xxhash64(line)).alias("hashes"))
-    d = d.select("uid", "hashes", F.explode(F.sequence(F.lit(0), F.size("hashes") - 1)).alias("i"))
-    last = F.size("hashes") - LINES
-    at = lambda j: F.get("hashes", F.col("i") + j)
-    least = (F.col("i") >= RADIUS) & (F.col("i") <= last)
+    """(uid, i, n, h): of each chunk the number of its first unit, how many it has, and its hash; docs: (uid, text)."""
+    d = with_units(docs, F.col("text")).select("uid", F.transform("units", _ends).alias("ends"), _hashes(F.col("units")).alias("hashes"))
+    # Where lines start that aren't blank.
+    first = lambda i: ((i == 0) | F.get("ends", i - 1)) & ~(F.get("ends", i) & (F.get("hashes", i) == F.xxhash64(F.lit(""))))
+    d = d.withColumn("starts", F.filter(F.sequence(F.lit(0), F.size("ends") - 1), first))
+    # Numbers from 0 on are words, those below whole lines from the first on.
+    words = F.when(F.size(F.filter("ends", lambda e: ~e)) >= WORDS - 1, F.sequence(F.lit(0), F.size("ends") - WORDS)).otherwise(F.array())
+    lines = F.when(F.size("starts") >= PAIR, F.sequence(F.lit(-1), PAIR - 1 - F.size("starts"), F.lit(-1))).otherwise(F.array())
+    d = d.select("uid", "hashes", "ends", "starts", F.explode(F.concat(words, lines)).alias("e"))
+    i = F.when(F.col("e") >= 0, F.col("e")).otherwise(F.get("starts", -1 - F.col("e")))
+    n = F.when(F.col("e") >= 0, WORDS).otherwise(F.coalesce(F.get("starts", PAIR - 1 - F.col("e")), F.size("ends")) - F.get("starts", -1 - F.col("e")))
+    at = lambda j: F.get("hashes", F.col("e") + j)
+    end = lambda j: F.get("ends", F.col("e") + j)
+    rolled = lambda j: reduce(Column.bitwiseXOR, (_turned(at(j + k), WINDOW - 1 - k) for k in range(WINDOW)))
+    here = F.col("e") >= RADIUS
     for j in range(1, RADIUS + 1):
-        least = least & (at(0) < at(-j)) & (at(0) <= at(j))
-    d = d.filter((F.col("i") == 0) | (F.col("i") == last) | least).filter(last >= 0)
-    return d.select("uid", "i", F.xxhash64(F.slice("hashes", F.col("i") + 1, LINES)).alias("h"))
+        here = here & (rolled(0) < rolled(-j)) & (rolled(0) <= rolled(j))
+    edge = (F.col("e") == 0) | F.coalesce(end(-1), F.lit(False)) | end(WORDS - 1)
+    inside = (here | edge) & ~reduce(Column.__or__, (end(j) for j in range(WORDS - 1)))
+    d = d.filter((F.col("e") < 0) | inside).withColumns({"i": i, "n": n})
+    return d.select("uid", "i", "n", _chunk_hash(F.slice("hashes", F.col("i") + 1, F.col("n"))).alias("h"))
 
 
 def _by_document(found: DataFrame) -> DataFrame:
-    """(uid, spans): the chunks (i, h, gone) of each document in their order; found: (uid, i, h, first)."""
-    of_hash = found.repartition("uid").groupBy("uid", "h").agg(F.collect_set("i").alias("at"), F.min("i").alias("least"), F.min("first").alias("first"))
+    """(uid, spans): the chunks (i, n, h, gone) of each document in their order; found: (uid, i, n, h, first)."""
+    of_hash = found.repartition("uid").groupBy("uid", "h").agg(F.collect_set(F.struct("i", "n")).alias("at"), F.min("i").alias("least"), F.min("first").alias("first"))
     gone = lambda i: (F.col("uid") != F.col("first")) | (i != F.col("least"))
-    spans = F.transform("at", lambda i: F.struct(i.alias("i"), F.col("h").alias("h"), gone(i).alias("gone")))
+    spans = F.transform("at", lambda c: F.struct(c["i"].alias("i"), c["n"].alias("n"), F.col("h").alias("h"), gone(c["i"]).alias("gone")))
     return of_hash.select("uid", spans.alias("spans")).groupBy("uid").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
 
 
 def _confirmed(spans: Column) -> Column:
-    """Those of the chunks that stand in `lines`; a row that shares its doc_id may have others."""
-    return F.filter(spans, lambda s: _hash_of(_chunk(s["i"])) == s["h"])
+    """Those of the chunks that stand in `units`; a row that shares its doc_id may have others."""
+    return F.filter(spans, lambda s: _hash_of(_units_of(s)) == s["h"])
 
 
 def find_repeats(docs: DataFrame) -> DataFrame:
@@ -103,35 +158,55 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     chunks(docs.select("uid", F.col("row.text").cast("string").alias("text"))).write.parquet(folder)
     all_ = spark.read.parquet(folder)
     # Summed up before the shuffle. The result is written, so that the join with it can split a hash that very many documents have.
-    again = all_.groupBy("h").agg(F.count("*").alias("n"), F.min("uid").alias("first")).filter("n > 1").select("h", "first")
+    again = all_.groupBy("h").agg(F.count("*").alias("k"), F.min("uid").alias("first")).filter("k > 1").select("h", "first")
     again.write.parquet(f"{folder}-again")
     found = all_.join(spark.read.parquet(f"{folder}-again"), "h")
     # Asks for the whole row, as the join of remove_repeats does, so that both read one shuffle of the texts.
     text = F.get(F.transform(F.array("row"), lambda row: row["text"]), F.lit(0))
-    texts = with_lines(docs.join(_by_document(found), "uid"), text.cast("string"))
-    texts = texts.select(F.explode(F.transform(_confirmed(F.col("spans")), lambda s: F.struct(s["h"].alias("h"), F.array_join(_chunk(s["i"]), " ").alias("text")))).alias("c"))
+    texts = with_units(docs.join(_by_document(found), "uid"), text.cast("string"))
+    texts = texts.select(F.explode(F.transform(_confirmed(F.col("spans")), lambda s: F.struct(s["h"].alias("h"), _text_of(_units_of(s)).alias("text")))).alias("c"))
     unequal = texts.select("c.h", "c.text").distinct().groupBy("h").count().filter("count > 1").select("h")
     return _by_document(found.join(unequal, "h", "left_anti"))
 
 
-def remove_repeats(docs: DataFrame, report: bool = False) -> DataFrame:
-    """The documents with repeated passages cut out of `text`; report adds removed_chunks and removed_lines."""
+def _without(gone: Column) -> Column:
+    """Numbers of the units that lie in none of the chunks."""
+    every = F.sequence(F.lit(0), F.size("units") - 1)
+    return F.array_except(every, F.flatten(F.transform(gone, lambda s: F.sequence(s["i"], s["i"] + s["n"] - 1))))
+
+
+def _joined(stays: Column) -> Column:
+    """The text of the units of these numbers: a line that lost its last words ends where it did."""
+
+    def piece(k: Column, place: Column) -> Column:
+        unit, after = F.get("units", k), F.get(stays, place + 1)
+        cut = F.exists(F.slice("units", k + 2, after - k - 1), _ends)
+        return F.concat(unit, F.when(_ends(unit) | after.isNull(), "").when((after > k + 1) & cut, "\n").otherwise(F.col("between")))
+
+    return F.array_join(F.transform(stays, piece), "")
+
+
+def remove_repeats(docs: DataFrame, report: bool = False, emptied: bool = True) -> DataFrame:
+    """The documents with repeated lines cut out of `text`; without `emptied` those go that have nothing but white space left.
+
+    report adds removed_chunks and removed_lines (lines, or words of long ones).
+    """
     own = _identified(docs)
     d = own.join(find_repeats(own), "uid", "left")
-    d = with_lines(d, F.when(F.col("spans").isNotNull(), F.col("row.text").cast("string")))
-    d = d.withColumn("starts", F.transform(F.filter(_confirmed(F.col("spans")), lambda s: s["gone"]), lambda s: s["i"]))
-    # What stands between the end of a removed chunk and the start of the next.
-    before = lambda k: F.when(k > 0, F.get("starts", k - 1) + LINES).otherwise(F.lit(0))
-    until = lambda k: F.coalesce(F.get("starts", k), F.size("lines"))
-    stays = F.transform(F.sequence(F.lit(0), F.size("starts")), lambda k: F.slice("lines", before(k) + 1, F.greatest(until(k) - before(k), F.lit(0))))
-    d = d.withColumn("stays", F.when(F.size("starts") > 0, F.flatten(stays)))
-    text = F.when(F.col("stays").isNull(), F.col("row.text")).otherwise(F.call_function("array_join", F.col("stays"), F.col("between")))
+    d = with_units(d, F.when(F.col("spans").isNotNull(), F.col("row.text").cast("string")))
+    d = d.withColumn("gone", F.filter(_confirmed(F.col("spans")), lambda s: s["gone"]))
+    d = d.withColumn("stays", F.when(F.size("gone") > 0, _without(F.col("gone"))))
+    d = d.withColumn("joined", _joined(F.col("stays")))
+    if not emptied:
+        d = d.filter(~F.coalesce(F.rlike("joined", F.lit(r"^\s*$")), F.lit(False)))
+    last = F.endswith("joined", F.lit("\n"))
+    text = F.when(F.col("stays").isNull(), F.col("row.text")).when(last, F.substring("joined", F.lit(1), F.length("joined") - 1)).otherwise(F.col("joined"))
     columns = {"text": text}
     if "n_chars" in docs.columns:
         columns["n_chars"] = F.when(F.col("stays").isNull(), F.col("row.n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
     out = [columns.get(c, F.col("row")[c]).alias(c) for c in docs.columns]
     if report:
-        out += [F.coalesce(F.when(F.col("stays").isNotNull(), F.size("starts")), F.lit(0)).cast("long").alias("removed_chunks"), F.coalesce(F.size("lines") - F.size("stays"), F.lit(0)).cast("long").alias("removed_lines")]
+        out += [F.coalesce(F.when(F.col("stays").isNotNull(), F.size("gone")), F.lit(0)).cast("long").alias("removed_chunks"), F.coalesce(F.size("units") - F.size("stays"), F.lit(0)).cast("long").alias("removed_lines")]
     return d.select(*out)
 
 

@@ -35,8 +35,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that stand elsewhere are cut out of all texts but the first that has them."""
-    return remove_repeats(docs)
+    """Lines and passages that stand elsewhere are cut out of all texts but the first that has them; documents that lose all of their text go."""
+    return remove_repeats(docs, emptied=False)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

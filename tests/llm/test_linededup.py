@@ -1,5 +1,8 @@
 """Line dedup against a plain version of its rule."""
 
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 import xxhash
@@ -8,33 +11,58 @@ from codelake.llm import linededup
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string"
-K, R = linededup.LINES, linededup.RADIUS
+K, R, W = linededup.WORDS, linededup.RADIUS, linededup.WINDOW
+FOOTER = "Share this page\nTerms of use\nPrivacy policy\nAll rights reserved"
+
+
+def hash_of(unit):
+    h = xxhash.xxh64(unit.rstrip("\n").encode(), seed=42).intdigest()
+    return h
+
+
+def units_of(text):
+    """Lines, and the words of long ones; texts whose words are short."""
+    return [u for line in text.split("\n") for u in (f"{line}\n".split(" ") if len(line.encode()) > linededup.LONGEST else [f"{line}\n"])]
 
 
-def hash_of(line):
-    h = xxhash.xxh64(line.encode(), seed=42).intdigest()
-    return h - (1 << 64) if h >> 63 else h
+def chunks_of(units):
+    """(start, units) of every chunk."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    turned = lambda x, by: (x << by | x >> (64 - by)) & ((1 << 64) - 1) if by else x
+    h = [hash_of(u) for u in units]
+    ends = [u.endswith("\n") for u in units]
+    rolled = {i: signed(turned(h[i], 2) ^ turned(h[i + 1], 1) ^ h[i + 2]) for i in range(len(h) - W + 1)}
+    found = []
+    for i in range(len(h) - K + 1):
+        least = i >= R and all(rolled[i] < rolled[i - j] and i + j in rolled and rolled[i] <= rolled[i + j] for j in range(1, R + 1))
+        if (least or i == 0 or ends[i - 1] or ends[i + K - 1]) and not any(ends[i : i + K - 1]):
+            found.append((i, K))
+    starts = [i for i in range(len(h)) if (i == 0 or ends[i - 1]) and units[i] != "\n"]
+    return found + [(a, b - a) for a, b in zip(starts, [*starts[2:], len(h)])][: max(len(starts) - 1, 0)]
 
 
-def starts_of(lines):
-    h = [hash_of(x) for x in lines]
-    last = len(lines) - K
-    inner = (i for i in range(R, last + 1) if all(h[i] < h[i - j] and (i + j >= len(h) or h[i] <= h[i + j]) for j in range(1, R + 1)))
-    return sorted({0, last, *inner}) if last >= 0 else []
+def key_of(units):
+    return " ".join(u.rstrip("\n") for u in units if u.rstrip("\n"))
 
 
 def without_repeats(docs):
-    """The texts that stay of (doc_id, text) rows with blanks between short words and unique ids."""
-    first = {}
+    """The texts that stay of (doc_id, text) rows with unique ids."""
+    first, out = {}, {}
     for doc_id, text in sorted(docs):
-        lines = text.split(" ")
-        for i in starts_of(lines):
-            first.setdefault(tuple(lines[i : i + K]), (doc_id, i))
-    out = {}
+        units = units_of(text)
+        for i, n in sorted(chunks_of(units)):
+            first.setdefault(key_of(units[i : i + n]), (doc_id, i))
     for doc_id, text in docs:
-        lines = text.split(" ")
-        gone = {k for i in starts_of(lines) if first[tuple(lines[i : i + K])] != (doc_id, i) for k in range(i, i + K)}
-        out[doc_id] = " ".join(x for k, x in enumerate(lines) if k not in gone)
+        units = units_of(text)
+        gone = {k for i, n in chunks_of(units) if first[key_of(units[i : i + n])] != (doc_id, i) for k in range(i, i + n)}
+        made = ""
+        for k, u in enumerate(units):
+            if k in gone:
+                if u.endswith("\n") and made and not made.endswith("\n"):
+                    made = made.removesuffix(" ") + "\n"
+            else:
+                made += u if u.endswith("\n") else u + " "
+        out[doc_id] = text if not gone else made.removesuffix("\n").removesuffix(" ") if not made.endswith("\n") else made[:-1]
     return out
 
 
@@ -46,11 +74,41 @@ def some_words(rng, letters, n):
     return ["".join(rng.choice(list(letters), 6)) for _ in range(n)]
 
 
+def pairs_of(text):
+    lines = [x for x in (text or "").split("\n") if x]
+    return list(zip(lines, lines[1:]))
+
+
 def test_every_repeated_chunk_goes_and_nothing_else(spark):
-    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r["text"] and max(map(len, r["text"].split(" "))) < 50]
-    docs += [(10**6 + i, t) for i, (_, t) in enumerate(docs[:40])]
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r["text"] and max(map(len, re.split("[ \n]", r["text"]))) < 50]
+    docs += [(10**6 + i, f"{t}\n\n{FOOTER}") for i, (_, t) in enumerate(docs[:40])]
     found = {r["doc_id"]: r["text"] for r in linededup.remove_repeats(spark.createDataFrame(docs, DOCS)).collect()}
-    assert found == without_repeats(docs)
+    want = without_repeats(docs)
+    assert {k: v.rstrip() for k, v in found.items()} == {k: v.rstrip() for k, v in want.items()}
+
+
+def test_no_two_lines_stand_twice_on_the_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    before, after = (Counter(p for r in d.collect() for p in pairs_of(r["text"])) for d in (docs, linededup.remove_repeats(docs)))
+    twice = lambda pairs: sum(n - 1 for n in pairs.values())
+    # What is left are pairs of lines that met only when the lines between them went.
+    assert twice(before) > 500 and sum(n - 1 for p, n in after.items() if p in before) < 0.02 * twice(before)
+    lines = {x for r in docs.collect() for x in (r["text"] or "").split("\n")}
+    kept = {x for r in linededup.remove_repeats(docs).collect() for x in (r["text"] or "").split("\n")}
+    assert all(x in kept for x in lines if len(x.encode()) <= linededup.LONGEST)  # whatever goes stands elsewhere
+
+
+def test_a_footer_of_short_lines_stays_once(spark):
+    rng = np.random.default_rng(8)
+    own = [" ".join(some_words(rng, "abcdefgh", 8)) for _ in range(50)]
+    found = removed(spark, [(i, f"{t}\n{FOOTER}" if i % 2 else f"{FOOTER}\n\n{t}") for i, t in enumerate(own)])
+    assert found[0] == f"{FOOTER}\n\n{own[0]}" and found[1:] == own[1:]
+
+
+def test_lines_in_other_company(spark):
+    a, b, c, d, e = ("alpha one", "beta two", "gamma three", "delta four", "epsilon five")
+    rows = [(1, f"{a}\n{b}\n{c}"), (2, f"{d}\n{b}\n{c}\n{e}"), (3, f"{b}\n{e}\n{a}"), (4, f"{a}\n\n{b}"), (5, f"{a}\n{c}\n{a}\n{c}\n{d}"), (6, f"{e}\n")]
+    assert removed(spark, rows) == [rows[0][1], f"{d}\n{e}", rows[2][1], "", f"{a}\n{c}\n{d}", rows[5][1]]
 
 
 def test_a_shared_passage_stays_once(spark):
@@ -91,7 +149,7 @@ def test_unequal_texts_under_one_hash_stay(spark, monkeypatch):
     rng = np.random.default_rng(2)
     rows = [(i, " ".join(some_words(rng, "abcdefgh", 60))) for i in range(4)]
     plain = linededup.chunks
-    monkeypatch.setattr(linededup, "chunks", lambda docs: plain(docs).selectExpr("uid", "i", "0L as h"))
+    monkeypatch.setattr(linededup, "chunks", lambda docs: plain(docs).selectExpr("uid", "i", "n", "0L as h"))
     monkeypatch.setattr(linededup, "_hash_of", lambda chunk: linededup.F.lit(0).cast("long"))
     assert removed(spark, rows) == [t for _, t in rows]
 
@@ -99,7 +157,7 @@ def test_unequal_texts_under_one_hash_stay(spark, monkeypatch):
 def test_odd_rows_and_clashing_columns(spark):
     rng = np.random.default_rng(3)
     text = " ".join(some_words(rng, "abcdefgh", 100))
-    schema = "doc_id long, text string, n_chars int, uid long, row string, spans string, lines int, starts string, stays string, h long, between string"
+    schema = "doc_id long, text string, n_chars int, uid long, row string, spans string, units int, starts string, stays string, gone long, between string"
     rows = [(1, text), (1, text), (2, text), (None, text), (None, text), (3, "one two"), (4, None), (5, ""), (6, "x" * 5000), (6, " ".join(some_words(rng, "xyz", 30)))]
     rows = [(*r, len(r[1] or ""), i, "r", "s", i, "a", "b", i, "c") for i, r in enumerate(rows)]
     found = [tuple(r) for r in linededup.remove_repeats(spark.createDataFrame(rows, schema)).collect()]
@@ -115,6 +173,19 @@ def test_no_documents(spark):
 
 
 @pytest.mark.parametrize("n", [K - 1, K])
-def test_texts_of_few_lines(spark, n):
-    text = " ".join(f"w{i}" for i in range(n))
-    assert removed(spark, [(1, text), (2, text)]) == [text, "" if n == K else text]
+def test_long_lines_of_few_words(spark, n):
+    text = " ".join(f"word{'x' * 12}{i}" for i in range(n))
+    assert len(text) > linededup.LONGEST and removed(spark, [(1, text), (2, text), (3, "one short line"), (4, "one short line")]) == [text, "" if n == K else text, "one short line", "one short line"]
+
+
+def test_a_very_long_text_of_short_lines(spark):
+    lines = [f"line {i % 15_000} of many" for i in range(30_000)]
+    first, second = removed(spark, [(1, "\n".join(lines)), (2, "own\n" + "\n".join(lines))])
+    assert first == "\n".join(lines[:15_000]) and second == "own"
+
+
+def test_emptied_documents_may_go(spark):
+    rows = [(1, FOOTER), (2, FOOTER + "\n \n"), (3, ""), (4, None), (5, FOOTER + "\nown")]
+    df = spark.createDataFrame(rows, DOCS)
+    assert sorted((r["doc_id"], r["text"]) for r in linededup.remove_repeats(df, emptied=False).collect()) == [(1, FOOTER), (3, ""), (4, None), (5, "own")]
+    assert linededup.remove_repeats(df).count() == 5
