@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -19,24 +19,59 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Walks are doubled while their number, if none were equal, stays under GROWN times the edges, or under FEW.
+GROWN, FEW = 8, 20_000
+
+
+def _counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """A checkpoint, and its rows as counted while it was written."""
+    seen = Observation()
+    return cut(df.observe(seen, F.count("*").alias("n"))), seen.get["n"]
+
+
+def _doubled(ways: DataFrame, n: int, most: int) -> DataFrame | None:
+    """Pairs two of the ways apart; None if there may be more than `most` of them before equal ones are dropped."""
+    if n > FEW:
+        out = ways.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("o"))
+        into = ways.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("i"))
+        if (out.join(into, "node").agg(F.sum(F.col("o").cast("double") * F.col("i"))).first()[0] or 0) > most:
+            return None
+    further = ways.select(F.col("src").alias("dst"), F.col("dst").alias("end"))
+    return ways.join(further, "dst").select("src", F.col("end").alias("dst")).distinct()
+
+
 def reachable(edges: DataFrame, roots: DataFrame, leaves: DataFrame | None = None) -> DataFrame:
     """(root, node) for all nodes that a root of roots (root) reaches, itself included.
 
-    Nodes of leaves (node) are reached but not followed. Each round follows only
-    what the last one has found (semi-naive), so cycles end; one aggregate both
-    drops what was known and keeps the round in which a node was found.
+    Nodes of leaves (node) are reached but not followed. Each round joins what the
+    roots reach in under 2^k steps with the walks of exactly 2^k steps, then doubles
+    these, so the rounds grow with the logarithm of the depth: a chain of n nodes
+    stays n walks at every length. Where walks multiply instead (graphs that branch
+    are not deep), they are no longer doubled, and each round follows only what the
+    last one found, 2^k steps at a time. It ends when a round finds nothing, so
+    cycles do too.
     """
-    edges = edges.select("src", "dst").distinct()
+    edges = edges.select("src", "dst").filter("src <> dst").distinct()
     if leaves is not None:
         edges = edges.join(leaves.select(F.col("node").alias("src")), "src", "left_anti")
-    edges = cut(edges)
-    seen = cut(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("round")).distinct())
-    n = 0
-    while not (new := seen.filter(F.col("round") == n)).isEmpty():
-        n += 1
-        found = new.join(edges, new["node"] == edges["src"]).select("root", F.col("dst").alias("node"), F.lit(n).alias("round"))
-        seen = cut(seen.unionByName(found).groupBy("root", "node").agg(F.min("round").alias("round")))
-    return seen.select("root", "node")
+    ways, n = _counted(edges)
+    most = GROWN * n
+    seen, held = _counted(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("round")).distinct())
+    round_, doubling = 0, True
+    while True:
+        round_ += 1
+        # While walks grow, all that is known goes further by the new length.
+        start = seen if doubling else seen.filter(F.col("round") == round_ - 1)
+        found = start.join(ways, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"), F.lit(round_).alias("round"))
+        seen, now = _counted(seen.unionByName(found).groupBy("root", "node").agg(F.min("round").alias("round")))
+        if now == held:
+            return seen.select("root", "node")
+        held = now
+        if doubling:
+            longer = _doubled(ways, n, most)
+            doubling = longer is not None
+            if doubling:
+                ways, n = _counted(longer)
 
 
 def degrees(edges: DataFrame) -> DataFrame:

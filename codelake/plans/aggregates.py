@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.state import first_row, last_seen
+from ..operators.state import carried, first_row
 from .registry import Tables, query
 
 @query("SELECT c_nationkey, c_mktsegment, COUNT(*) AS n FROM customer GROUP BY ALL")
@@ -152,7 +152,7 @@ def q50_last_wins(t: Tables) -> DataFrame:
 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS signup_id FROM events""")
 def q51_ffill_state(t: Tables) -> DataFrame:
     signup = F.when(F.col("event_type") == "signup", F.col("event_id"))
-    return t.events.select("event_id", "user_id", last_seen(signup, ["user_id"], ["ts", "event_id"]).alias("signup_id"))
+    return carried(t.events.select("event_id", "user_id", "ts", "event_type"), {"signup_id": signup}, ["user_id"], ["ts", "event_id"]).select("event_id", "user_id", "signup_id")
 
 
 @query("""WITH RECURSIVE m AS (SELECT l_orderkey, l_linenumber, CAST(CASE CAST(l_quantity AS BIGINT) % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 ELSE 8 END AS BIGINT) AS size,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.keys import dangling
-from ..operators.state import not_in
+from ..operators.state import not_in, zip_by_place
 from .registry import Tables, query
 
 
@@ -90,9 +90,7 @@ def q17_lateral_json_each(t: Tables) -> DataFrame:
 @query("""SELECT a.place, a.n_name, b.r_name FROM (SELECT CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS INTEGER) AS place, n_name FROM nation) a
 JOIN (SELECT CAST(row_number() OVER (ORDER BY r_name DESC) - 1 AS INTEGER) AS place, r_name FROM region) b ON a.place = b.place""")
 def q52_positional_zip(t: Tables) -> DataFrame:
-    from ..operators.state import zip_by_place
-
-    return zip_by_place(t.nation, t.region, ["n_nationkey"], [F.desc("r_name")]).select("place", "n_name", "r_name")
+    return zip_by_place(t.nation, t.region, ["n_nationkey"], [F.desc("r_name")], strict=False).select(F.col("place").cast("int").alias("place"), "n_name", "r_name")
 
 
 #: Child table and column, parent table and column.
