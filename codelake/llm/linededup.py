@@ -3,20 +3,19 @@
 A text is cut at its line ends. A line of more than LONGEST bytes is cut further, into
 its words, which are the lines of what follows inside it; a word that is that long (in
 scripts that set no blanks: Han, kana, Thai and their like) after any white space and
-after each character of every other block of such scripts. Blank lines belong to the
-line before them. Each line has a hash, without its end.
-
-Chunks come in two kinds. Whole lines: a rolling hash over the hashes of PAIR lines in a
-row is taken at every line, so that a chunk starts at each and no shift of what stands
-around hides a repeat. All that recurs and is PAIR lines long or longer is therefore
-found, to the line. Inside long lines: a rolling hash (a cyclic polynomial: hashes are
-turned by a bit for each place and added without carry) over WINDOW words in a row is
-taken at every word; one that is the least of those up to RADIUS before and behind it
-starts a chunk of WORDS words, as do a long line's first word and its WORDS-th from the
-end. Where chunks start there depends on the words near by and not on what precedes a
-passage, so it has the same chunks wherever it stands: one every 2 * RADIUS + 1 words
-on average, each lapping over the next. The ends of a passage, some words each, lie in
-no chunk of its own and stay.
+after each character of every other block of such scripts. Empty lines belong to the
+line before them. Each line has a hash.
+
+Chunks come in two kinds. Whole lines: a hash rolls over the hashes of two lines in a
+row, from line to line, and a chunk starts at each, so that no shift of what stands
+around hides a repeat: all that recurs and is two lines long or longer is found, to the
+line. (A mask that let only some lines start a chunk would lose short footers between
+other lines; lines are few enough to do without.) Inside long lines a word whose hash
+is the least of those up to RADIUS before and behind it starts a chunk of WORDS words,
+as do the line's first word and its WORDS-th from the end. Where chunks start there
+depends on the words near by and not on what precedes a passage, so it has the same
+chunks wherever it stands: one every 2 * RADIUS + 1 words on average, each lapping over
+the next. The ends of a passage, some words each, lie in no chunk of its own and stay.
 
 Chunks with a hash that occurs once are left alone. The texts of the others are
 compared byte by byte: a hash under which two different texts stand removes nothing.
@@ -37,18 +36,15 @@ changed.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh_dir, read_table, shared_dir
 
-#: Lines of the smallest chunk of whole lines; bytes of a line from which on it is cut into words.
-PAIR, LONGEST = 2, 160
-#: Words of a chunk inside a long line, of the rolling hash, and of the neighbourhood in which it is the least.
-WORDS, WINDOW, RADIUS = 13, 3, 4
+#: Bytes of a line from which on it is cut into words.
+LONGEST = 160
+#: Words of a chunk inside a long line, and of the neighbourhood in which its first word has the least hash.
+WORDS, RADIUS = 13, 4
 #: Ids of rows without a doc_id start here.
 _NAMELESS = 1 << 62
 
@@ -57,53 +53,33 @@ UNSPACED = ((0x0E00, 0x0EFF, 4), (0x1000, 0x109F, 4), (0x1780, 0x17FF, 4), (0x30
 EVERY_OTHER = "".join(rf"\x{{{c:X}}}-\x{{{c + n - 1:X}}}" for lo, hi, n in UNSPACED for c in range(lo, hi + 1, 2 * n))
 
 
-def _ends(unit: Column) -> Column:
-    return F.endswith(unit, F.lit("\n"))
-
-
-def with_units(docs: DataFrame, text: Column) -> DataFrame:
-    """Adds `units`, the lines of a text and the words of its long lines, each line's last with a line end, and `between`: what joins words again."""
-    # Columns of their own, so that no text is cut anew for each use.
-    d = docs.withColumn("_text", text).withColumn("_lines", F.split("_text", "\n"))
-
-    def units(cut: Callable[[Column], Column]) -> Column:
-        whole = lambda line: F.concat(line, F.lit("\n"))
-        return F.flatten(F.transform("_lines", lambda line: F.when(F.octet_length(line) > LONGEST, cut(whole(line))).otherwise(F.array(whole(line)))))
-
-    d = d.withColumn("_units", units(lambda line: F.split(line, " ")))
-    d = d.withColumn("_wide", F.exists("_units", lambda u: F.octet_length(u) > LONGEST + 1))
-    pieces = units(lambda line: F.filter(F.split(line, rf"(?<=\s|[{EVERY_OTHER}])"), lambda u: u != ""))
-    d = d.withColumn("units", F.when(F.col("_wide"), pieces).otherwise(F.col("_units"))).withColumn("between", F.when(F.col("_wide"), "").otherwise(" "))
-    return d.drop("_text", "_lines", "_units", "_wide")
-
-
-def _bare(unit: Column) -> Column:
-    return F.when(_ends(unit), F.rtrim(unit, F.lit("\n"))).otherwise(unit)
-
+def _wide(words: Column) -> Column:
+    return F.exists(words, lambda word: F.octet_length(word) > LONGEST)
 
-def _hashes(units: Column) -> Column:
-    return F.transform(units, lambda u: F.xxhash64(_bare(u)))
 
+def _words(line: Column) -> Column:
+    """The words of a long line, a short one as it is."""
+    pieces = F.filter(F.split(line, rf"(?<=\s|[{EVERY_OTHER}])"), lambda piece: piece != "")
+    # A list of one, so that the line is cut once.
+    by_blanks = F.get(F.transform(F.array(F.split(line, " ")), lambda words: F.when(_wide(words), pieces).otherwise(words)), F.lit(0))
+    return F.when(F.octet_length(line) > LONGEST, by_blanks).otherwise(F.array(line))
 
-def _chunk_hash(hashes: Column) -> Column:
-    """Of the hashes of a chunk's units; blank ones don't count."""
-    return F.xxhash64(F.filter(hashes, lambda h: h != F.xxhash64(F.lit(""))))
 
+def with_pieces(docs: DataFrame, text: Column) -> DataFrame:
+    """Adds `lines` and `pieces`, the words of each line, as columns of their own, so that no line is cut anew for each use."""
+    d = docs.withColumn("lines", F.split(text, "\n"))
+    return d.withColumn("pieces", F.transform("lines", _words))
 
-def _hash_of(units: Column) -> Column:
-    return _chunk_hash(_hashes(units))
 
+def _hash_of(parts: Column) -> Column:
+    """Of the words or of the lines of a chunk."""
+    return F.xxhash64(F.transform(parts, lambda part: F.xxhash64(part)))
 
-def _text_of(units: Column) -> Column:
-    return F.array_join(F.filter(F.transform(units, _bare), lambda u: u != ""), " ")
 
-
-def _units_of(chunk: Column) -> Column:
-    return F.slice("units", chunk["i"] + 1, chunk["n"])
-
-
-def _turned(h: Column, by: int) -> Column:
-    return F.shiftleft(h, by).bitwiseOR(F.shiftrightunsigned(h, 64 - by)) if by else h
+def _parts(chunk: Column) -> Column:
+    """The words of a chunk, or its lines without empty ones."""
+    lines = F.filter(F.slice("lines", chunk["k"] + 1, chunk["n"]), lambda line: line != "")
+    return F.when(chunk["w"] < 0, lines).otherwise(F.slice(F.get("pieces", chunk["k"]), chunk["w"] + 1, chunk["n"]))
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -114,40 +90,44 @@ def _identified(docs: DataFrame) -> DataFrame:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """(uid, i, n, h): of each chunk the number of its first unit, how many it has, and its hash; docs: (uid, text)."""
-    d = with_units(docs, F.col("text")).select("uid", F.transform("units", _ends).alias("ends"), _hashes(F.col("units")).alias("hashes"))
-    # Where lines start that aren't blank.
-    first = lambda i: ((i == 0) | F.get("ends", i - 1)) & ~(F.get("ends", i) & (F.get("hashes", i) == F.xxhash64(F.lit(""))))
-    d = d.withColumn("starts", F.filter(F.sequence(F.lit(0), F.size("ends") - 1), first))
-    # Numbers from 0 on are words, those below whole lines from the first on.
-    words = F.when(F.size(F.filter("ends", lambda e: ~e)) >= WORDS - 1, F.sequence(F.lit(0), F.size("ends") - WORDS)).otherwise(F.array())
-    lines = F.when(F.size("starts") >= PAIR, F.sequence(F.lit(-1), PAIR - 1 - F.size("starts"), F.lit(-1))).otherwise(F.array())
-    d = d.select("uid", "hashes", "ends", "starts", F.explode(F.concat(words, lines)).alias("e"))
-    i = F.when(F.col("e") >= 0, F.col("e")).otherwise(F.get("starts", -1 - F.col("e")))
-    n = F.when(F.col("e") >= 0, WORDS).otherwise(F.coalesce(F.get("starts", PAIR - 1 - F.col("e")), F.size("ends")) - F.get("starts", -1 - F.col("e")))
-    at = lambda j: F.get("hashes", F.col("e") + j)
-    end = lambda j: F.get("ends", F.col("e") + j)
-    rolled = lambda j: reduce(Column.bitwiseXOR, (_turned(at(j + k), WINDOW - 1 - k) for k in range(WINDOW)))
-    here = F.col("e") >= RADIUS
+    """(uid, k, w, n, h): the chunks of n words from word w of line k on, or where w is -1 of n lines from line k on, and their hashes; docs: (uid, text)."""
+    d = docs.select("uid", F.split("text", "\n").alias("lines"))
+    d = d.withColumn("full", F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda k: F.get("lines", k) != ""))
+    # Rows take their own line along, not the text's array.
+    def row(k: Column, p: Column) -> Column:
+        other, after = F.get("full", p + 1), F.coalesce(F.get("full", p + 2), F.size("lines"))
+        return F.struct(k.alias("k"), F.get("lines", k).alias("line"), F.xxhash64(F.get("lines", other)).alias("other"), other.isNotNull().alias("pair"), (after - k).alias("n"))
+
+    d = d.select("uid", F.inline(F.transform("full", row)))
+    pair = F.when(F.col("pair"), F.xxhash64(F.array(F.xxhash64("line"), "other")))
+    hashes = F.when(F.octet_length("line") > LONGEST, F.transform(_words(F.col("line")), lambda word: F.xxhash64(word)))
+    d = d.select("uid", "k", F.col("n").alias("lines"), pair.alias("pair"), hashes.alias("hashes"))
+    starts = F.when(F.size("hashes") >= WORDS, F.sequence(F.lit(-1), F.size("hashes") - WORDS)).otherwise(F.array(F.lit(-1)))
+    d = d.select("uid", "k", "lines", "pair", "hashes", F.explode(starts).alias("w"))
+    at = lambda j: F.get("hashes", F.col("w") + j)
+    least = F.col("w") >= RADIUS
     for j in range(1, RADIUS + 1):
-        here = here & (rolled(0) < rolled(-j)) & (rolled(0) <= rolled(j))
-    edge = (F.col("e") == 0) | F.coalesce(end(-1), F.lit(False)) | end(WORDS - 1)
-    inside = (here | edge) & ~reduce(Column.__or__, (end(j) for j in range(WORDS - 1)))
-    d = d.filter((F.col("e") < 0) | inside).withColumns({"i": i, "n": n})
-    return d.select("uid", "i", "n", _chunk_hash(F.slice("hashes", F.col("i") + 1, F.col("n"))).alias("h"))
+        least = least & (at(0) < at(-j)) & (at(0) <= at(j))
+    d = d.filter(F.when(F.col("w") < 0, F.col("pair").isNotNull()).otherwise((F.col("w") == 0) | (F.col("w") == F.size("hashes") - WORDS) | least))
+    whole = F.col("w") < 0
+    h = F.when(whole, F.col("pair")).otherwise(F.xxhash64(F.slice("hashes", F.col("w") + 1, WORDS)))
+    return d.select("uid", "k", "w", F.when(whole, F.col("lines")).otherwise(WORDS).alias("n"), h.alias("h"))
 
 
 def _by_document(found: DataFrame) -> DataFrame:
-    """(uid, spans): the chunks (i, n, h, gone) of each document in their order; found: (uid, i, n, h, first)."""
-    of_hash = found.repartition("uid").groupBy("uid", "h").agg(F.collect_set(F.struct("i", "n")).alias("at"), F.min("i").alias("least"), F.min("first").alias("first"))
-    gone = lambda i: (F.col("uid") != F.col("first")) | (i != F.col("least"))
-    spans = F.transform("at", lambda c: F.struct(c["i"].alias("i"), c["n"].alias("n"), F.col("h").alias("h"), gone(c["i"]).alias("gone")))
+    """(uid, spans): the chunks (k, w, n, h, gone) of each document in their order; found: (uid, k, w, n, h, first)."""
+    place = F.struct("k", "w", "n")
+    of_hash = found.repartition("uid").groupBy("uid", "h").agg(F.collect_set(place).alias("at"), F.min(place).alias("least"), F.min("first").alias("first"))
+    gone = lambda c: (F.col("uid") != F.col("first")) | (c != F.col("least"))
+    spans = F.transform("at", lambda c: F.struct(c["k"].alias("k"), c["w"].alias("w"), c["n"].alias("n"), F.col("h").alias("h"), gone(c).alias("gone")))
     return of_hash.select("uid", spans.alias("spans")).groupBy("uid").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
 
 
 def _confirmed(spans: Column) -> Column:
-    """Those of the chunks that stand in `units`; a row that shares its doc_id may have others."""
-    return F.filter(spans, lambda s: _hash_of(_units_of(s)) == s["h"])
+    """Those of the chunks that stand in `lines`; a row that shares its doc_id may have others."""
+    # Naming them twice, which keeps the optimizer from putting the cutting of all lines in place of the names.
+    known = F.size("pieces") == F.size("lines")
+    return F.when(known, F.filter(spans, lambda s: _hash_of(_parts(s)) == s["h"]))
 
 
 def find_repeats(docs: DataFrame) -> DataFrame:
@@ -158,30 +138,42 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     chunks(docs.select("uid", F.col("row.text").cast("string").alias("text"))).write.parquet(folder)
     all_ = spark.read.parquet(folder)
     # Summed up before the shuffle. The result is written, so that the join with it can split a hash that very many documents have.
-    again = all_.groupBy("h").agg(F.count("*").alias("k"), F.min("uid").alias("first")).filter("k > 1").select("h", "first")
+    again = all_.groupBy("h").agg(F.count("*").alias("times"), F.min("uid").alias("first")).filter("times > 1").select("h", "first")
     again.write.parquet(f"{folder}-again")
     found = all_.join(spark.read.parquet(f"{folder}-again"), "h")
     # Asks for the whole row, as the join of remove_repeats does, so that both read one shuffle of the texts.
     text = F.get(F.transform(F.array("row"), lambda row: row["text"]), F.lit(0))
-    texts = with_units(docs.join(_by_document(found), "uid"), text.cast("string"))
-    texts = texts.select(F.explode(F.transform(_confirmed(F.col("spans")), lambda s: F.struct(s["h"].alias("h"), _text_of(_units_of(s)).alias("text")))).alias("c"))
+    texts = with_pieces(docs.join(_by_document(found), "uid"), text.cast("string"))
+    texts = texts.select(F.explode(F.transform(_confirmed(F.col("spans")), lambda s: F.struct(s["h"].alias("h"), F.array_join(_parts(s), "\n").alias("text")))).alias("c"))
     unequal = texts.select("c.h", "c.text").distinct().groupBy("h").count().filter("count > 1").select("h")
     return _by_document(found.join(unequal, "h", "left_anti"))
 
 
-def _without(gone: Column) -> Column:
-    """Numbers of the units that lie in none of the chunks."""
-    every = F.sequence(F.lit(0), F.size("units") - 1)
-    return F.array_except(every, F.flatten(F.transform(gone, lambda s: F.sequence(s["i"], s["i"] + s["n"] - 1))))
+#: A word's place in its text: the number of its line, times this, and its own.
+_LINE = 1 << 32
+
+
+def _places(k: Column, first: Column, n: Column) -> Column:
+    start = k.cast("long") * _LINE + first
+    return F.sequence(start, start + n - 1)
+
+
+def _stays() -> Column:
+    """Places of the words (short lines are one) of `pieces` that lie in none of the chunks in `gone`."""
+    every = F.flatten(F.transform("pieces", lambda words, k: _places(k, F.lit(0), F.size(words))))
+    whole = lambda k: _places(k, F.lit(0), F.size(F.get("pieces", k)))
+    lost = F.transform("gone", lambda s: F.when(s["w"] >= 0, _places(s["k"], s["w"], s["n"])).otherwise(F.flatten(F.transform(F.sequence(s["k"], s["k"] + s["n"] - 1), whole))))
+    return F.array_except(every, F.flatten(lost))
 
 
 def _joined(stays: Column) -> Column:
-    """The text of the units of these numbers: a line that lost its last words ends where it did."""
+    """The text of the words at these places."""
+    line = lambda place: F.floor(place / _LINE).cast("int")
 
-    def piece(k: Column, place: Column) -> Column:
-        unit, after = F.get("units", k), F.get(stays, place + 1)
-        cut = F.exists(F.slice("units", k + 2, after - k - 1), _ends)
-        return F.concat(unit, F.when(_ends(unit) | after.isNull(), "").when((after > k + 1) & cut, "\n").otherwise(F.col("between")))
+    def piece(place: Column, i: Column) -> Column:
+        after, k = F.get(stays, i + 1), line(place)
+        between = F.when(after.isNull(), "").when(line(after) != k, "\n").otherwise(F.get("glue", k))
+        return F.concat(F.get(F.get("pieces", k), (place % _LINE).cast("int")), between)
 
     return F.array_join(F.transform(stays, piece), "")
 
@@ -193,20 +185,20 @@ def remove_repeats(docs: DataFrame, report: bool = False, emptied: bool = True)
     """
     own = _identified(docs)
     d = own.join(find_repeats(own), "uid", "left")
-    d = with_units(d, F.when(F.col("spans").isNotNull(), F.col("row.text").cast("string")))
-    d = d.withColumn("gone", F.filter(_confirmed(F.col("spans")), lambda s: s["gone"]))
-    d = d.withColumn("stays", F.when(F.size("gone") > 0, _without(F.col("gone"))))
+    d = with_pieces(d, F.when(F.col("spans").isNotNull(), F.col("row.text").cast("string")))
+    d = d.withColumn("gone", F.filter(_confirmed(F.col("spans")), lambda s: s["gone"])).withColumn("stays", F.when(F.size("gone") > 0, _stays()))
+    # What stands between the words of each line.
+    d = d.withColumn("glue", F.when(F.size("gone") > 0, F.transform("lines", lambda line: F.when(_wide(F.split(line, " ")), "").otherwise(" "))))
     d = d.withColumn("joined", _joined(F.col("stays")))
     if not emptied:
         d = d.filter(~F.coalesce(F.rlike("joined", F.lit(r"^\s*$")), F.lit(False)))
-    last = F.endswith("joined", F.lit("\n"))
-    text = F.when(F.col("stays").isNull(), F.col("row.text")).when(last, F.substring("joined", F.lit(1), F.length("joined") - 1)).otherwise(F.col("joined"))
+    text = F.coalesce("joined", F.col("row.text").cast("string")).cast(docs.schema["text"].dataType)
     columns = {"text": text}
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(F.col("stays").isNull(), F.col("row.n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
+        columns["n_chars"] = F.when(F.col("joined").isNull(), F.col("row.n_chars")).otherwise(F.length("joined").cast(docs.schema["n_chars"].dataType))
     out = [columns.get(c, F.col("row")[c]).alias(c) for c in docs.columns]
     if report:
-        out += [F.coalesce(F.when(F.col("stays").isNotNull(), F.size("gone")), F.lit(0)).cast("long").alias("removed_chunks"), F.coalesce(F.size("units") - F.size("stays"), F.lit(0)).cast("long").alias("removed_lines")]
+        out += [F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("removed_chunks"), F.coalesce(F.size(F.flatten("pieces")) - F.size("stays"), F.lit(0)).cast("long").alias("removed_lines")]
     return d.select(*out)
 
 

@@ -11,58 +11,47 @@ from codelake.llm import linededup
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string"
-K, R, W = linededup.WORDS, linededup.RADIUS, linededup.WINDOW
+K, R = linededup.WORDS, linededup.RADIUS
 FOOTER = "Share this page\nTerms of use\nPrivacy policy\nAll rights reserved"
 
 
-def hash_of(unit):
-    h = xxhash.xxh64(unit.rstrip("\n").encode(), seed=42).intdigest()
-    return h
+def hash_of(word):
+    h = xxhash.xxh64(word.encode(), seed=42).intdigest()
+    return h - (1 << 64) if h >> 63 else h
 
 
-def units_of(text):
-    """Lines, and the words of long ones; texts whose words are short."""
-    return [u for line in text.split("\n") for u in (f"{line}\n".split(" ") if len(line.encode()) > linededup.LONGEST else [f"{line}\n"])]
+def words_of(line):
+    """The words of a long line; for texts whose words are short."""
+    return line.split(" ") if len(line.encode()) > linededup.LONGEST else [line]
 
 
-def chunks_of(units):
-    """(start, units) of every chunk."""
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    turned = lambda x, by: (x << by | x >> (64 - by)) & ((1 << 64) - 1) if by else x
-    h = [hash_of(u) for u in units]
-    ends = [u.endswith("\n") for u in units]
-    rolled = {i: signed(turned(h[i], 2) ^ turned(h[i + 1], 1) ^ h[i + 2]) for i in range(len(h) - W + 1)}
-    found = []
-    for i in range(len(h) - K + 1):
-        least = i >= R and all(rolled[i] < rolled[i - j] and i + j in rolled and rolled[i] <= rolled[i + j] for j in range(1, R + 1))
-        if (least or i == 0 or ends[i - 1] or ends[i + K - 1]) and not any(ends[i : i + K - 1]):
-            found.append((i, K))
-    starts = [i for i in range(len(h)) if (i == 0 or ends[i - 1]) and units[i] != "\n"]
-    return found + [(a, b - a) for a, b in zip(starts, [*starts[2:], len(h)])][: max(len(starts) - 1, 0)]
-
-
-def key_of(units):
-    return " ".join(u.rstrip("\n") for u in units if u.rstrip("\n"))
+def chunks_of(text):
+    """(what it holds, its words' places (line, word)) of every chunk, in order."""
+    lines, found = text.split("\n"), []
+    full = [k for k, line in enumerate(lines) if line]
+    for p, k in enumerate(full):
+        words = words_of(lines[k])
+        if p + 1 < len(full):
+            end = full[p + 2] if p + 2 < len(full) else len(lines)
+            found.append(((lines[k], lines[full[p + 1]]), [(x, w) for x in range(k, end) for w in range(len(words_of(lines[x])))]))
+        h = [hash_of(w) for w in words]
+        last = len(words) - K
+        for i in range(last + 1) if len(words) > 1 else ():
+            if i in (0, last) or i >= R and all(h[i] < h[i - j] and i + j < len(h) and h[i] <= h[i + j] for j in range(1, R + 1)):
+                found.append((tuple(words[i : i + K]), [(k, w) for w in range(i, i + K)]))
+    return found
 
 
 def without_repeats(docs):
     """The texts that stay of (doc_id, text) rows with unique ids."""
     first, out = {}, {}
     for doc_id, text in sorted(docs):
-        units = units_of(text)
-        for i, n in sorted(chunks_of(units)):
-            first.setdefault(key_of(units[i : i + n]), (doc_id, i))
+        for held, places in chunks_of(text):
+            first.setdefault(held, (doc_id, places))
     for doc_id, text in docs:
-        units = units_of(text)
-        gone = {k for i, n in chunks_of(units) if first[key_of(units[i : i + n])] != (doc_id, i) for k in range(i, i + n)}
-        made = ""
-        for k, u in enumerate(units):
-            if k in gone:
-                if u.endswith("\n") and made and not made.endswith("\n"):
-                    made = made.removesuffix(" ") + "\n"
-            else:
-                made += u if u.endswith("\n") else u + " "
-        out[doc_id] = text if not gone else made.removesuffix("\n").removesuffix(" ") if not made.endswith("\n") else made[:-1]
+        gone = {p for held, places in chunks_of(text) if first[held] != (doc_id, places) for p in places}
+        lines = [[x for w, x in enumerate(words_of(line)) if (k, w) not in gone] for k, line in enumerate(text.split("\n"))]
+        out[doc_id] = "\n".join(" ".join(words) for words in lines if words)
     return out
 
 
@@ -84,7 +73,7 @@ def test_every_repeated_chunk_goes_and_nothing_else(spark):
     docs += [(10**6 + i, f"{t}\n\n{FOOTER}") for i, (_, t) in enumerate(docs[:40])]
     found = {r["doc_id"]: r["text"] for r in linededup.remove_repeats(spark.createDataFrame(docs, DOCS)).collect()}
     want = without_repeats(docs)
-    assert {k: v.rstrip() for k, v in found.items()} == {k: v.rstrip() for k, v in want.items()}
+    assert found == want
 
 
 def test_no_two_lines_stand_twice_on_the_whole_table(spark):
@@ -149,7 +138,7 @@ def test_unequal_texts_under_one_hash_stay(spark, monkeypatch):
     rng = np.random.default_rng(2)
     rows = [(i, " ".join(some_words(rng, "abcdefgh", 60))) for i in range(4)]
     plain = linededup.chunks
-    monkeypatch.setattr(linededup, "chunks", lambda docs: plain(docs).selectExpr("uid", "i", "n", "0L as h"))
+    monkeypatch.setattr(linededup, "chunks", lambda docs: plain(docs).selectExpr("uid", "k", "w", "n", "0L as h"))
     monkeypatch.setattr(linededup, "_hash_of", lambda chunk: linededup.F.lit(0).cast("long"))
     assert removed(spark, rows) == [t for _, t in rows]
 
@@ -157,7 +146,7 @@ def test_unequal_texts_under_one_hash_stay(spark, monkeypatch):
 def test_odd_rows_and_clashing_columns(spark):
     rng = np.random.default_rng(3)
     text = " ".join(some_words(rng, "abcdefgh", 100))
-    schema = "doc_id long, text string, n_chars int, uid long, row string, spans string, units int, starts string, stays string, gone long, between string"
+    schema = "doc_id long, text string, n_chars int, uid long, row string, spans string, glue int, pieces string, stays string, gone long, joined string"
     rows = [(1, text), (1, text), (2, text), (None, text), (None, text), (3, "one two"), (4, None), (5, ""), (6, "x" * 5000), (6, " ".join(some_words(rng, "xyz", 30)))]
     rows = [(*r, len(r[1] or ""), i, "r", "s", i, "a", "b", i, "c") for i, r in enumerate(rows)]
     found = [tuple(r) for r in linededup.remove_repeats(spark.createDataFrame(rows, schema)).collect()]
