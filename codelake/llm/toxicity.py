@@ -5,11 +5,16 @@ and of word beginnings that labelled rows show to be telling (a binomial test
 against all terms tried). A voter fires or not. A generative label model takes
 the class as hidden and estimates, by expectation maximisation, how often each
 voter fires on either class and how voters correlate within a class; voters that
-repeat each other share their weight. It runs on the counts of the voters'
-patterns over all documents (at most 2 ** number of voters rows), with labelled
-rows as evidence of a fixed accuracy. A linear classifier is then trained, on at
-most LABELLED rows, to give the label model's posterior from the voters, their
-numbers of hits and the most telling terms.
+repeat each other share their weight. The given labels are one more voter, heard on
+labelled rows alone, whose accuracy on either class is estimated like the others'.
+The model runs on the counts of the voters' patterns over all documents (at most
+2 ** number of voters rows); labelled rows count once, with their label.
+
+A linear classifier is then trained to give the label model's posterior from the
+voters, their numbers of hits and the most telling terms: on at most LABELLED
+labelled rows, and on all documents without a label, by pattern (the mean of their
+features, weighted by their number; all together they weigh UNLABELLED times what
+the labelled rows weigh).
 
 Labels are learned only from rows whose crc32(doc_id as text) mod 5 is not 0.
 Null and empty texts fire no voter and get the score that goes with that. Null
@@ -40,8 +45,10 @@ THRESHOLD = 0.5
 PREFIXES = (4, 5, 6)
 #: Learned terms that are kept, and those that the classifier gives weights of their own.
 TERMS, OWN_WEIGHT = 4096, 256
-#: How often a label is taken to be right.
-LABEL_ACCURACY = 0.995
+#: Weight of all unlabelled documents together, as a multiple of the labelled rows'.
+UNLABELLED = 1.0
+#: A label is never taken to be right on more than this share of a class.
+SUREST = 0.995
 FLUSH = 500_000
 _REMEMBER = 400_000
 
@@ -150,12 +157,21 @@ def telling_terms(labelled_docs: DataFrame, most: int = TERMS) -> list[str]:
 
 @dataclass
 class LabelModel:
-    """Firing rates of the voters on either class, their correlations, and the weights that follow."""
+    """Firing rates of the voters on either class, their correlations, and the weights that follow; how often a label is 1 on either class."""
 
     rates: np.ndarray  # 2 x voters
     prior: float
     weights: np.ndarray
     correlations: np.ndarray = field(repr=False)
+    label_rates: np.ndarray = field(default_factory=lambda: np.array([0.1, 0.9]))
+
+    def evidence(self, labels: np.ndarray) -> np.ndarray:
+        """What labels of 1 and 0 add to the logit; others (-1) add nothing."""
+        zero, one = self.label_rates
+        return np.where(labels == 1, np.log(one / zero), np.where(labels == 0, np.log((1 - one) / (1 - zero)), 0.0))
+
+    def posterior(self, votes: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.logit(votes) + self.evidence(labels), -50, 50)))
 
     def logit(self, votes: np.ndarray) -> np.ndarray:
         one, zero = np.log(self.rates), np.log(1 - self.rates)
@@ -166,11 +182,10 @@ class LabelModel:
 def fit_label_model(votes: np.ndarray, labels: np.ndarray, n: np.ndarray, rounds: int = 100) -> LabelModel:
     """votes: patterns x voters; labels: 1, 0 or -1 for none; n: how many documents have both."""
     k = votes.shape[1]
-    trust = np.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY))
-    evidence = np.where(labels == 1, trust, np.where(labels == 0, -trust, 0.0))
+    known = labels >= 0
     model = LabelModel(np.array([np.full(k, 0.02), np.full(k, 0.3)]), 0.1, np.ones(k), np.eye(k))
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(model.logit(votes) + evidence, -50, 50)))
+        p = model.posterior(votes, labels)
         mass = np.array([((1 - p) * n).sum(), (p * n).sum()])
         shares = [(1 - p) * n, p * n]
         # A voter is expected to fire more on toxic texts: as many thoughts of documents as keep rates inside (0, 1).
@@ -183,8 +198,10 @@ def fit_label_model(votes: np.ndarray, labels: np.ndarray, n: np.ndarray, rounds
             together = np.maximum(together, cov / sd[:, None] / sd)
         np.fill_diagonal(together, 1)
         prior = float(np.clip((mass[1] + 0.1) / (mass.sum() + 1), 1e-4, 0.9))
-        new = LabelModel(rates, prior, 1 / np.clip(together, 0, 1).sum(axis=1), together)
-        done = np.abs(new.rates - model.rates).max() < 1e-6
+        # Labels are taken to be right on nine of ten rows until rows speak for more or less.
+        right = np.array([((x * known) @ (labels == 1) + first) / ((x * known).sum() + 1) for x, first in zip(shares, (0.1, 0.9))]).clip(1 - SUREST, SUREST)
+        new = LabelModel(rates, prior, 1 / np.clip(together, 0, 1).sum(axis=1), together, right)
+        done = max(np.abs(new.rates - model.rates).max(), np.abs(right - model.label_rates).max()) < 1e-6
         model = new
         if done:
             break
@@ -214,23 +231,28 @@ def features(hits: np.ndarray, terms: list[int], words: int, own: int) -> np.nda
     return x
 
 
-def fit_linear(x: np.ndarray, p: np.ndarray, rounds: int = 25, ridge: float = 0.3) -> tuple[np.ndarray, float]:
-    """Logistic regression on posterior labels by Newton's method."""
+def fit_linear(x: np.ndarray, p: np.ndarray, n: np.ndarray, rounds: int = 25, ridge: float = 0.3) -> tuple[np.ndarray, float]:
+    """Logistic regression on posterior labels by Newton's method; n: the rows' weights."""
     x = np.c_[x, np.ones(len(x))]
     w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
     penalty[-1] = 1e-6
     for _ in range(rounds):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        curve = (x * (q * (1 - q) + 1e-9)[:, None]).T @ x + np.diag(penalty)
-        step = np.linalg.solve(curve, x.T @ (q - p) + penalty * w)
+        curve = (x * (n * (q * (1 - q) + 1e-9))[:, None]).T @ x + np.diag(penalty)
+        step = np.linalg.solve(curve, x.T @ (n * (q - p)) + penalty * w)
         w = w - step / max(1.0, np.abs(step).max() / 2)
         if np.abs(step).max() < 1e-6:
             break
     return w[:-1], float(w[-1])
 
 
-def learn(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> ToxicityModel:
-    """docs: (doc_id, text)."""
+def _mask(hits: np.ndarray) -> int:
+    """The pattern of the voters that fire."""
+    return int((hits > 0) @ (1 << np.arange(len(hits))))
+
+
+def learn(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> tuple[ToxicityModel, LabelModel]:
+    """The classifier and the label model behind it; docs: (doc_id, text)."""
     spark = docs.sparkSession
     sample = labelled(docs, labels, "toxic", FOLDS, most)
     terms = telling_terms(sample)
@@ -239,41 +261,61 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> ToxicityM
 
     def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter[int] = Counter()
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                found[int((shared.value.look(text)[0] > 0) @ (1 << np.arange(len(VOTERS))))] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int32()), pa.array(found.values(), pa.int64())], ["mask", "n"])
+                seen = shared.value.look(text)
+                found[mask := _mask(seen[0])] += 1
+                if mask:  # without a hit all features are 0
+                    sums[mask] = sums.get(mask, 0) + features(*seen, own)
+        rows = [(m, -1, float(n)) for m, n in found.items()] + [(m, int(i), float(x[i])) for m, x in sums.items() for i in np.flatnonzero(x)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.float64())], ["mask", "at", "total"])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [features(*shared.value.look(t), own).astype(np.float32).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.binary())], ["doc_id", "label", "x"])
 
-    # All documents, a row for each pattern; then the labelled ones, at most `most` ids.
-    counts = docs.select("text").mapInArrow(patterns, "mask int, n long").groupBy("mask").agg(F.sum("n").alias("n")).collect()
+    # All documents, a row for each pattern and feature; then the labelled ones, at most `most` ids.
+    totals = docs.select("text").mapInArrow(patterns, "mask int, at int, total double").groupBy("mask", "at").agg(F.sum("total").alias("total")).collect()
     rows = sample.select("doc_id", "text", "label").mapInArrow(look, "doc_id long, label int, x binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["x"])))
-    x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), np.float32).reshape(-1, 3 * len(VOTERS) + own).astype(np.float64)
+    k, width = len(VOTERS), 3 * len(VOTERS) + own
+    x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), np.float32).reshape(-1, width).astype(np.float64)
     y = np.array([r["label"] for r in rows], np.int64)
-    bits = lambda masks: (np.asarray(masks, np.int64)[:, None] >> np.arange(len(VOTERS)) & 1).astype(np.float64).reshape(-1, len(VOTERS))
-    marked = Counter(((v > 0) @ (1 << np.arange(len(VOTERS))), int(label)) for v, label in zip(x[:, : len(VOTERS)], y))
-    masks = [r["mask"] for r in counts] + [m for m, _ in marked]
-    model = fit_label_model(bits(masks), np.array([-1] * len(counts) + [label for _, label in marked]), np.array([r["n"] for r in counts] + list(marked.values()), np.float64))
+    # What all documents have, less the labelled ones.
+    masks = sorted({r["mask"] for r in totals})
+    at = {m: i for i, m in enumerate(masks)}
+    n, means = np.zeros(len(masks)), np.zeros((len(masks), width))
+    for r in totals:
+        if r["at"] < 0:
+            n[at[r["mask"]]] = r["total"]
+        else:
+            means[at[r["mask"]], r["at"]] = r["total"]
+    for row in x:
+        i = at[_mask(row[:k])]
+        n[i] -= 1
+        means[i] -= row
+    left = n > 0.5
+    n, means = n[left], means[left] / n[left][:, None]
+    bits = (np.array(masks, np.int64)[left][:, None] >> np.arange(k) & 1).astype(np.float64).reshape(-1, k)
+    votes = np.concatenate([bits, x[:, :k]])
+    model = fit_label_model(votes, np.r_[np.full(len(n), -1), y], np.r_[n, np.ones(len(x))])
     if len(x):
-        evidence = np.where(y == 1, 1, -1) * np.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY))
-        p = 1 / (1 + np.exp(-np.clip(model.logit(x[:, : len(VOTERS)]) + evidence, -50, 50)))
-        return ToxicityModel(terms, *fit_linear(x, p))
+        p = model.posterior(votes, np.r_[np.full(len(n), -1), y])
+        weight = np.r_[n * (UNLABELLED * len(x) / max(n.sum(), 1)), np.ones(len(x))]
+        return ToxicityModel(terms, *fit_linear(np.concatenate([means, x]), p, weight)), model
     # Nothing is labelled: the label model is linear in the votes.
     one, zero = np.log(model.rates), np.log(1 - model.rates)
     weights = np.zeros(3 * len(VOTERS) + own)
     weights[: len(VOTERS)] = ((one[1] - one[0]) - (zero[1] - zero[0])) * model.weights
-    return ToxicityModel(terms, weights, float(model.logit(np.zeros((1, len(VOTERS))))[0]))
+    return ToxicityModel(terms, weights, float(model.logit(np.zeros((1, len(VOTERS))))[0])), model
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     small_batches(docs.sparkSession)
     docs = id_and_text(docs)
-    return apply_scores(docs, learn(docs, labels), threshold, FOLDS)
+    return apply_scores(docs, learn(docs, labels)[0], threshold, FOLDS)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
