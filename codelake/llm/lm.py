@@ -9,8 +9,11 @@ The log-bilinear model predicts a token's class from the two classes before it:
 
 It is trained in numpy, by noise-contrastive estimation with a pool of noise
 shared by each batch. Every training document is used once, in ROUNDS rounds:
-in a round each task trains on its own rows from the last model, and Spark
-averages the tasks' parameters. Afterwards the model is normalised exactly: the
+its class numbers are dealt by a hash to a shard of about SHARD tokens, whose
+number follows from the count of tokens alone. In a round each shard trains from
+the last model, in the order of the hashes and with a seed of its own, and Spark
+averages the shards' parameters in whole numbers, exactly. So the model is a
+function of the table, however its rows are laid out. Afterwards the model is normalised exactly: the
 logarithms of the sums over all classes, for every pair of context classes, come
 from batches of matrix products in their own Spark job.
 
@@ -52,6 +55,9 @@ FOLDS = 10
 NOISE = 128
 BATCH = 2048
 RATE = 0.05
+#: Training tokens of a shard; parameters are averaged in steps of 1 / FINE.
+SHARD = 1_000_000
+FINE = 1 << 30
 #: A task hands on its counts when it holds so many different words.
 FLUSH = 1_000_000
 END = b""
@@ -246,39 +252,45 @@ def _contexts(classes: np.ndarray, starts: np.ndarray, end: int) -> tuple[np.nda
     return a, b
 
 
-def _one_round(docs: DataFrame, model: Bilinear, voc: Vocabulary, shared) -> Bilinear:
-    """The mean of what the tasks make of the model, each weighted by its tokens; docs: (text)."""
-    names = [f"x{j}" for j in range(DIMENSIONS + 1)]
-    counts = voc.class_counts
+def as_classes(docs: DataFrame, shared) -> DataFrame:
+    """(doc_id, n, classes): the class numbers of each document's tokens, as 16-bit numbers; docs: (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, class_of = shared.value
-        reader = Reader(voc, class_of)
-        end = int(class_of[voc.words[END]])
-        trainer = Trainer(model, counts, TaskContext.get().partitionId())
+        reader = Reader(*shared.value)
         for batch in batches:
-            texts = [[*tokens_of(t), END] for t in batch.column(0).to_pylist()]
-            words = [w for t in texts for w in t]
-            if not words:
+            texts = [[*tokens_of(t), END] for t in batch.column(1).to_pylist()]
+            if not texts:
                 continue
-            classes = reader.classes(words, reader.places(words))
-            starts = np.cumsum([0, *(len(t) for t in texts[:-1])])
-            a, b = _contexts(classes, starts, end)
-            order = trainer.rng.permutation(len(words))
-            for lo in range(0, len(order), BATCH):
-                i = order[lo : lo + BATCH]
-                trainer.step(a[i], b[i], classes[i])
-        if trainer.tokens:
-            rows = trainer.rows()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(rows), dtype=np.int32)), pa.array(np.full(len(rows), float(trainer.tokens))), *(pa.array(c) for c in rows.T.astype(np.float32))],
-                ["i", "n", *names],
-            )
-
-    trained = docs.mapInArrow(run, "i int, n double, " + ", ".join(f"{x} float" for x in names))
-    mean = trained.groupBy("i").agg(*((F.sum(F.col(x) * F.col("n")) / F.sum("n")).alias(x) for x in names))
-    rows = np.array(sorted(tuple(r) for r in mean.collect()))  # one row for each of the model's
-    return Bilinear(rows[:, 1:]) if len(rows) else model
+            words = [w for t in texts for w in t]
+            classes = reader.classes(words, reader.places(words)).astype("<i2")
+            ends = np.cumsum([len(t) for t in texts])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends, prepend=0)), pa.array([c.tobytes() for c in np.split(classes, ends[:-1])], pa.binary())], ["doc_id", "n", "classes"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, classes binary")
+
+
+def _one_round(rows: DataFrame, model: Bilinear, class_counts: np.ndarray, end: int, seed: int) -> Bilinear:
+    """The mean of what the shards make of the model, each weighted by its tokens; rows: (shard, hash, doc_id, n, classes)."""
+    names = [f"x{j}" for j in range(DIMENSIONS + 1)]
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by([("hash", "ascending"), ("doc_id", "ascending")])
+        lengths = table.column("n").to_numpy()
+        classes = np.concatenate([np.frombuffer(c.as_py(), "<i2") for c in table.column("classes")]).astype(np.int64)
+        trainer = Trainer(model, class_counts, seed + ROUNDS * key[0].as_py())
+        a, b = _contexts(classes, np.cumsum(lengths) - lengths, end)
+        order = trainer.rng.permutation(len(classes))
+        for lo in range(0, len(order), BATCH):
+            i = order[lo : lo + BATCH]
+            trainer.step(a[i], b[i], classes[i])
+        fine = np.rint(trainer.rows().astype(np.float64) * FINE).astype(np.int64)
+        return pa.table([pa.array(np.arange(len(fine), dtype=np.int32)), pa.array(np.full(len(fine), trainer.tokens, np.int64)), *(pa.array(c) for c in fine.T)], names=["i", "n", *names])
+
+    trained = rows.groupBy("shard").applyInArrow(run, "i int, n long, " + ", ".join(f"{x} long" for x in names))
+    # Sums of whole numbers don't depend on their order.
+    sums = trained.groupBy("i").agg(F.sum("n").alias("n"), *(F.sum(F.col(x).cast("decimal(20,0)") * F.col("n").cast("decimal(18,0)")).alias(x) for x in names))
+    found = sorted(sums.collect(), key=lambda r: r["i"])  # one row for each of the model's
+    return Bilinear(np.array([[int(r[x]) / r["n"] / FINE for x in names] for r in found])) if found else model
 
 
 def train(docs: DataFrame, voc: Vocabulary, rounds: int = ROUNDS) -> Bilinear:
@@ -286,10 +298,15 @@ def train(docs: DataFrame, voc: Vocabulary, rounds: int = ROUNDS) -> Bilinear:
     model = Bilinear.fresh(voc.class_counts)
     if not voc.total:
         return model
-    shared = docs.sparkSession.sparkContext.broadcast((voc, voc.class_of()))  # HEAD words at most
+    class_of = voc.class_of()
+    shared = docs.sparkSession.sparkContext.broadcast((voc, class_of))  # HEAD words at most
+    shards = max(1, round(voc.total / rounds / SHARD))
+    rows = as_classes(docs, shared).withColumn("hash", F.xxhash64("doc_id", "classes"))
+    # Every training document belongs to one round and one shard.
+    place = F.pmod("hash", F.lit(rounds * shards))
+    rows = cut(rows.withColumns({"round": place % rounds, "shard": F.floor(place / rounds).cast("int")}))
     for k in range(rounds):
-        # Every training document belongs to one round.
-        model = _one_round(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == k).select("text"), model, voc, shared)
+        model = _one_round(rows.filter(F.col("round") == k).drop("round"), model, voc.class_counts, int(class_of[voc.words[END]]), k)
     return model
 
 
