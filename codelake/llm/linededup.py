@@ -76,10 +76,27 @@ def _hash_of(parts: Column) -> Column:
     return F.xxhash64(F.transform(parts, lambda part: F.xxhash64(part)))
 
 
-def _parts(chunk: Column) -> Column:
+#: A chunk's place in its text, in one number that is short in shuffles: its line, times this, and its first word, or WHOLE and how many lines it has.
+_LINE, WHOLE = 1 << 32, 1 << 31
+
+
+def _line(at: Column) -> Column:
+    return F.shiftrightunsigned(at, 32).cast("int")
+
+
+def _rest(at: Column) -> Column:
+    return at.bitwiseAND(F.lit(_LINE - 1))
+
+
+def _lines(at: Column) -> Column:
+    """How many lines a chunk of whole lines has."""
+    return (_rest(at) - WHOLE).cast("int")
+
+
+def _parts(at: Column) -> Column:
     """The words of a chunk, or its lines without empty ones."""
-    lines = F.filter(F.slice("lines", chunk["k"] + 1, chunk["n"]), lambda line: line != "")
-    return F.when(chunk["w"] < 0, lines).otherwise(F.slice(F.get("pieces", chunk["k"]), chunk["w"] + 1, chunk["n"]))
+    lines = F.filter(F.slice("lines", _line(at) + 1, _lines(at)), lambda line: line != "")
+    return F.when(_rest(at) >= WHOLE, lines).otherwise(F.slice(F.get("pieces", _line(at)), _rest(at).cast("int") + 1, WORDS))
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -90,7 +107,7 @@ def _identified(docs: DataFrame) -> DataFrame:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """(uid, k, w, n, h): the chunks of n words from word w of line k on, or where w is -1 of n lines from line k on, and their hashes; docs: (uid, text)."""
+    """(uid, at, h): place and hash of all chunks; docs: (uid, text)."""
     d = docs.select("uid", F.split("text", "\n").alias("lines"))
     d = d.withColumn("full", F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda k: F.get("lines", k) != ""))
     # Rows take their own line along, not the text's array.
@@ -111,23 +128,22 @@ def chunks(docs: DataFrame) -> DataFrame:
     d = d.filter(F.when(F.col("w") < 0, F.col("pair").isNotNull()).otherwise((F.col("w") == 0) | (F.col("w") == F.size("hashes") - WORDS) | least))
     whole = F.col("w") < 0
     h = F.when(whole, F.col("pair")).otherwise(F.xxhash64(F.slice("hashes", F.col("w") + 1, WORDS)))
-    return d.select("uid", "k", "w", F.when(whole, F.col("lines")).otherwise(WORDS).alias("n"), h.alias("h"))
+    return d.select("uid", (F.col("k") * F.lit(_LINE) + F.when(whole, F.col("lines") + F.lit(WHOLE)).otherwise(F.col("w"))).alias("at"), h.alias("h"))
 
 
 def _by_document(found: DataFrame) -> DataFrame:
-    """(uid, spans): the chunks (k, w, n, h, gone) of each document in their order; found: (uid, k, w, n, h, first)."""
-    place = F.struct("k", "w", "n")
-    of_hash = found.repartition("uid").groupBy("uid", "h").agg(F.collect_set(place).alias("at"), F.min(place).alias("least"), F.min("first").alias("first"))
-    gone = lambda c: (F.col("uid") != F.col("first")) | (c != F.col("least"))
-    spans = F.transform("at", lambda c: F.struct(c["k"].alias("k"), c["w"].alias("w"), c["n"].alias("n"), F.col("h").alias("h"), gone(c).alias("gone")))
-    return of_hash.select("uid", spans.alias("spans")).groupBy("uid").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
+    """(uid, spans): the chunks (at, h, gone) of each document; found: (uid, at, h, first)."""
+    of_hash = found.repartition("uid").groupBy("uid", "h").agg(F.collect_set("at").alias("places"), F.min("at").alias("least"), F.min("first").alias("first"))
+    gone = lambda at: (F.col("uid") != F.col("first")) | (at != F.col("least"))
+    spans = F.transform("places", lambda at: F.struct(at.alias("at"), F.col("h").alias("h"), gone(at).alias("gone")))
+    return of_hash.select("uid", spans.alias("spans")).groupBy("uid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def _confirmed(spans: Column) -> Column:
     """Those of the chunks that stand in `lines`; a row that shares its doc_id may have others."""
     # Naming them twice, which keeps the optimizer from putting the cutting of all lines in place of the names.
     known = F.size("pieces") == F.size("lines")
-    return F.when(known, F.filter(spans, lambda s: _hash_of(_parts(s)) == s["h"]))
+    return F.when(known, F.filter(spans, lambda s: _hash_of(_parts(s["at"])) == s["h"]))
 
 
 def find_repeats(docs: DataFrame) -> DataFrame:
@@ -135,25 +151,22 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     shared_dir(spark)
     folder = fresh_dir(spark, "chunks")
-    chunks(docs.select("uid", F.col("row.text").cast("string").alias("text"))).write.parquet(folder)
+    chunks(docs.select("uid", F.col("row.text").cast("string").alias("text"))).write.option("compression", "zstd").parquet(folder)
     all_ = spark.read.parquet(folder)
     # Summed up before the shuffle. The result is written, so that the join with it can split a hash that very many documents have.
     again = all_.groupBy("h").agg(F.count("*").alias("times"), F.min("uid").alias("first")).filter("times > 1").select("h", "first")
-    again.write.parquet(f"{folder}-again")
+    again.write.option("compression", "zstd").parquet(f"{folder}-again")
     found = all_.join(spark.read.parquet(f"{folder}-again"), "h")
     # Asks for the whole row, as the join of remove_repeats does, so that both read one shuffle of the texts.
     text = F.get(F.transform(F.array("row"), lambda row: row["text"]), F.lit(0))
     texts = with_pieces(docs.join(_by_document(found), "uid"), text.cast("string"))
-    texts = texts.select(F.explode(F.transform(_confirmed(F.col("spans")), lambda s: F.struct(s["h"].alias("h"), F.array_join(_parts(s), "\n").alias("text")))).alias("c"))
+    texts = texts.select(F.explode(F.transform(_confirmed(F.col("spans")), lambda s: F.struct(s["h"].alias("h"), F.array_join(_parts(s["at"]), "\n").alias("text")))).alias("c"))
     unequal = texts.select("c.h", "c.text").distinct().groupBy("h").count().filter("count > 1").select("h")
     return _by_document(found.join(unequal, "h", "left_anti"))
 
 
-#: A word's place in its text: the number of its line, times this, and its own.
-_LINE = 1 << 32
-
-
 def _places(k: Column, first: Column, n: Column) -> Column:
+    """Of words one after another, each as a chunk's first."""
     start = k.cast("long") * _LINE + first
     return F.sequence(start, start + n - 1)
 
@@ -161,19 +174,18 @@ def _places(k: Column, first: Column, n: Column) -> Column:
 def _stays() -> Column:
     """Places of the words (short lines are one) of `pieces` that lie in none of the chunks in `gone`."""
     every = F.flatten(F.transform("pieces", lambda words, k: _places(k, F.lit(0), F.size(words))))
-    whole = lambda k: _places(k, F.lit(0), F.size(F.get("pieces", k)))
-    lost = F.transform("gone", lambda s: F.when(s["w"] >= 0, _places(s["k"], s["w"], s["n"])).otherwise(F.flatten(F.transform(F.sequence(s["k"], s["k"] + s["n"] - 1), whole))))
+    line = lambda k: _places(k, F.lit(0), F.size(F.get("pieces", k)))
+    whole = lambda at: F.flatten(F.transform(F.sequence(_line(at), _line(at) + _lines(at) - 1), line))
+    lost = F.transform("gone", lambda s: F.when(_rest(s["at"]) >= WHOLE, whole(s["at"])).otherwise(_places(_line(s["at"]), _rest(s["at"]), F.lit(WORDS))))
     return F.array_except(every, F.flatten(lost))
 
 
 def _joined(stays: Column) -> Column:
     """The text of the words at these places."""
-    line = lambda place: F.floor(place / _LINE).cast("int")
-
     def piece(place: Column, i: Column) -> Column:
-        after, k = F.get(stays, i + 1), line(place)
-        between = F.when(after.isNull(), "").when(line(after) != k, "\n").otherwise(F.get("glue", k))
-        return F.concat(F.get(F.get("pieces", k), (place % _LINE).cast("int")), between)
+        after, k = F.get(stays, i + 1), _line(place)
+        between = F.when(after.isNull(), "").when(_line(after) != k, "\n").otherwise(F.get("glue", k))
+        return F.concat(F.get(F.get("pieces", k), _rest(place).cast("int")), between)
 
     return F.array_join(F.transform(stays, piece), "")
 

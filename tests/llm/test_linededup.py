@@ -138,7 +138,7 @@ def test_unequal_texts_under_one_hash_stay(spark, monkeypatch):
     rng = np.random.default_rng(2)
     rows = [(i, " ".join(some_words(rng, "abcdefgh", 60))) for i in range(4)]
     plain = linededup.chunks
-    monkeypatch.setattr(linededup, "chunks", lambda docs: plain(docs).selectExpr("uid", "k", "w", "n", "0L as h"))
+    monkeypatch.setattr(linededup, "chunks", lambda docs: plain(docs).selectExpr("uid", "at", "0L as h"))
     monkeypatch.setattr(linededup, "_hash_of", lambda chunk: linededup.F.lit(0).cast("long"))
     assert removed(spark, rows) == [t for _, t in rows]
 
@@ -146,7 +146,7 @@ def test_unequal_texts_under_one_hash_stay(spark, monkeypatch):
 def test_odd_rows_and_clashing_columns(spark):
     rng = np.random.default_rng(3)
     text = " ".join(some_words(rng, "abcdefgh", 100))
-    schema = "doc_id long, text string, n_chars int, uid long, row string, spans string, glue int, pieces string, stays string, gone long, joined string"
+    schema = "doc_id long, text string, n_chars int, uid long, row string, spans string, at int, pieces string, stays string, gone long, joined string"
     rows = [(1, text), (1, text), (2, text), (None, text), (None, text), (3, "one two"), (4, None), (5, ""), (6, "x" * 5000), (6, " ".join(some_words(rng, "xyz", 30)))]
     rows = [(*r, len(r[1] or ""), i, "r", "s", i, "a", "b", i, "c") for i, r in enumerate(rows)]
     found = [tuple(r) for r in linededup.remove_repeats(spark.createDataFrame(rows, schema)).collect()]
