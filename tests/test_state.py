@@ -30,6 +30,7 @@ def rounds(monkeypatch, call):
 
 
 def test_a_chain_of_2000_takes_few_rounds(spark, monkeypatch):
+    monkeypatch.setattr(graph, "FEW", 0)
     edges = spark.range(1999).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     found, written = rounds(monkeypatch, lambda: graph.reachable(edges, spark.createDataFrame([(0,), (1990,)], "root long")))
     assert found == {(0, i) for i in range(2000)} | {(1990, i) for i in range(1990, 2000)}
