@@ -2,41 +2,58 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# A string of C, which ends on its line, or a character. All loops are possessive: they neither go back nor call themselves, so time and
+# stack stay in bounds on lines of any length.
+_QUOTED = r"""(?:"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\[^\n][0-9a-fA-F]*+)')"""
+#: How deep brackets may lie in one another.
+DEEPEST = 16
+
+
+def _within(opening: str, closing: str, brackets: str) -> str:
+    """A pattern of what may stand between two brackets of these kinds."""
+    inner = f"(?:{_QUOTED}|[^{brackets}\"']++|[\"'])*+"
+    for _ in range(DEEPEST):
+        inner = f"(?:{_QUOTED}|[^{brackets}\"']++|[\"']|[{opening}]{inner}[{closing}])*+"
+    return inner
+
+
 def without_block_comments(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?s)/\*.*?\*/", "")
+    """Strings and line comments may hold what looks like a block comment."""
+    return F.regexp_replace(text, rf"(?s)({_QUOTED}|//[^\n]*+)|/\*.*?\*/", "$1")
 
 
 def without_comments(text: Column) -> Column:
-    return F.trim(F.substring_index(without_block_comments(text), "//", 1))
+    """A line without comments; strings may hold what looks like one."""
+    return F.trim(F.regexp_replace(text, rf"(?s)({_QUOTED})|/\*.*?\*/|//.*", "$1"))
 
 
-def split_top_level(text: Column, separator: str = ",") -> Column:
-    """The pieces between separators outside of any (), [] or {}; depth never falls below nothing."""
-    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("piece"), F.array().cast("array<string>").alias("out"))
+#: Stands behind the text while it is split.
+_END = "\0"
 
-    def step(acc: Column, c: Column) -> Column:
-        cut = (c == separator) & (acc["depth"] == 0)
-        depth = F.when(c.isin("(", "[", "{"), acc["depth"] + 1).when(c.isin(")", "]", "}"), F.greatest(acc["depth"] - 1, F.lit(0))).otherwise(acc["depth"])
-        return F.struct(
-            depth.alias("depth"), F.when(cut, "").otherwise(F.concat(acc["piece"], c)).alias("piece"),
-            F.when(cut, F.concat(acc["out"], F.array(acc["piece"]))).otherwise(acc["out"]).alias("out"),
-        )
 
-    letters = F.filter(F.split(text, ""), lambda c: c != "")
-    return F.aggregate(letters, start, step, lambda acc: F.concat(acc["out"], F.array(acc["piece"])))
+def split_top_level(text: Column, separator: str = ",") -> Column:
+    """The pieces between separators outside of strings and of any (), [] or {}, whose kinds aren't told apart.
+
+    A closing bracket without an opening one is an ordinary character; from an
+    opening one that is never closed on, nothing is split.
+    """
+    brackets, end = r"()\[\]{}", r"\x00"
+    sep = re.escape(separator)
+    group = rf"[(\[{{]{_within(r'(\[{', r')\]}', brackets + end)}[)\]}}]"
+    piece = rf"(?:{_QUOTED}|[^{brackets}\"'{sep}{end}]++|{group}|[\"')\]}}]|[(\[{{][^{end}]*+)*+"
+    return F.regexp_extract_all(F.concat(text, F.lit(_END)), F.lit(rf"(?s)({piece})(?:{sep}|{end})"), 1)
 
 
 def call_of(line: Column) -> Column:
     """(name, args) of a call that a line starts with, else null; no arguments give an empty array."""
     bare = without_comments(line)
-    inner = r"[^()]*"
-    for _ in range(5):  # parentheses may nest that deep inside the call's own
-        inner = rf"[^()]*(?:\({inner}\)[^()]*)*"
-    pattern = rf"^\s*([A-Za-z_]\w*)\s*\(({inner})\)"
+    pattern = rf"^\s*([A-Za-z_]\w*)\s*\(({_within('(', ')', '()')})\)"
     body = F.trim(F.regexp_extract(bare, pattern, 2))
     args = F.when(body == "", F.array().cast("array<string>")).otherwise(F.transform(split_top_level(body), lambda a: F.trim(a)))
     return F.when(bare.rlike(pattern), F.struct(F.regexp_extract(bare, pattern, 1).alias("name"), args.alias("args")))

@@ -32,6 +32,30 @@ def test_split_and_acts(spark):
     assert one(spark, "*/ x /* y */", text.without_block_comments) == "*/ x "
 
 
+def test_strings_hold_what_looks_like_comments_and_commas(spark):
+    cut = lambda s: one(spark, s, text.without_comments)
+    assert cut('f("http://x", 2); // y') == 'f("http://x", 2);' and cut('g("/* no */") /* yes */ ;') == 'g("/* no */")  ;'
+    assert cut(r"""h('"', "a\"// b") // c""") == r"""h('"', "a\"// b")""" and cut("it's // don't") == "it's" and cut("//") == "" and cut("a / b * c") == "a / b * c"
+    assert one(spark, 'x // a /* b\ny /* c */ z', text.without_block_comments) == "x // a /* b\ny  z"
+    split = lambda s: one(spark, s, text.split_top_level)
+    assert split('"a,b",c,\',\',d') == ['"a,b"', "c", "','", "d"] and split('f("),("),2') == ['f("),(")', "2"]
+    assert split("") == [""] and split(",") == ["", ""] and split("a,") == ["a", ""] and split("a,,b") == ["a", "", "b"]
+    assert split("a(b,c") == ["a(b,c"] and split("x,[a,(b],c)") == ["x", "[a,(b],c)"] and split("a\",b") == ['a"', "b"]
+    deep = "(" * 15 + "a,b" + ")" * 15
+    assert split(f"x,{deep},y") == ["x", deep, "y"]
+    assert one(spark, 'say("one, (two", f(3)) // x', text.call_of) == ("say", ['"one, (two"', "f(3)"])
+
+
+def test_a_line_of_a_megabyte_is_split_in_no_time(spark):
+    import time
+
+    line = ",".join(f"{{{i},(a,b),\"x,y\"}}" for i in range(55_000))
+    df = spark.createDataFrame([(line,), ("(" * 300_000,), ('"' * 300_001,), (f"f({line})",)], "x string")
+    began = time.time()
+    found = df.select(F.size(text.split_top_level(F.col("x"))), F.length(text.without_comments(F.col("x"))), text.call_of(F.col("x"))["name"]).collect()
+    assert len(line) > 10**6 and [r[0] for r in found] == [55_000, 1, 1, 1] and found[0][1] == len(line) and found[3][2] == "f" and time.time() - began < 20
+
+
 def test_reachable_ends_on_cycles_and_keeps_leaves(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (5, 5)], "src int, dst int")
     roots = spark.createDataFrame([(1,), (5,)], "root int")
