@@ -203,15 +203,27 @@ class Trainer:
         false = q @ rn.T + (self.bias[noise] - self.log_noise[noise])
         # Gradients of the negative log-likelihood by the scores.
         g = (-1 / (1 + np.exp(np.clip(true, -30, 30)))).astype(np.float32)
-        h = 1 / (1 + np.exp(-np.clip(false, -30, 30)))
+        h = np.clip(false, -30, 30, out=false)
+        np.exp(np.negative(h, out=h), out=h)
+        h += 1
+        np.reciprocal(h, out=h)
         dq = g[:, None] * rw + h @ rn
-        where = np.concatenate([w, a, b])
-        what = np.concatenate([g[:, None] * q, dq @ self.c1, dq @ self.c2])
-        dr = np.bincount((where[:, None] * d + np.arange(d)).ravel(), what.ravel(), CLASSES * d).reshape(CLASSES, d)
-        dbias = np.bincount(w, g, CLASSES)
-        dr += np.bincount((noise[:, None] * d + np.arange(d)).ravel(), (h.T @ q).ravel(), CLASSES * d).reshape(CLASSES, d)
-        dbias += np.bincount(noise, h.sum(axis=0), CLASSES)
-        for x, past, grad in zip((self.r, self.bias, self.c1, self.c2), self.past, (dr, dbias, dq.T @ ra, dq.T @ rb)):
+        # Rows of equal classes are added up side by side; a last column is the bias.
+        where = np.concatenate([w, a, b, noise])
+        what = np.zeros((len(where), d + 1), np.float32)
+        np.multiply(g[:, None], q, out=what[:n, :d])
+        np.matmul(dq, self.c1, out=what[n : 2 * n, :d])
+        np.matmul(dq, self.c2, out=what[2 * n : 3 * n, :d])
+        np.matmul(h.T, q, out=what[3 * n :, :d])
+        what[:n, d], what[3 * n :, d] = g, h.sum(axis=0)
+        order = np.argsort(where.astype(np.int16), kind="stable")  # by counting
+        where = where[order]
+        first = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
+        rows, sums = where[first], np.add.reduceat(what[order], first, axis=0) / np.float32(n)
+        for x, past, grad in zip((self.r, self.bias), self.past, (sums[:, :d], sums[:, d])):  # classes without a gradient stay
+            past[rows] += grad * grad
+            x[rows] -= RATE * grad / np.sqrt(past[rows])
+        for x, past, grad in zip((self.c1, self.c2), self.past[2:], (dq.T @ ra, dq.T @ rb)):
             grad = (grad / n).astype(np.float32)
             past += grad * grad
             x -= RATE * grad / np.sqrt(past)
