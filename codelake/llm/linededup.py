@@ -202,10 +202,9 @@ def remove_repeats(docs: DataFrame, report: bool = False, emptied: bool = True)
     # What stands between the words of each line.
     d = d.withColumn("glue", F.when(F.size("gone") > 0, F.transform("lines", lambda line: F.when(_wide(F.split(line, " ")), "").otherwise(" "))))
     d = d.withColumn("joined", _joined(F.col("stays")))
-    if not emptied:
-        # Not a filter: the optimizer would put all that `joined` is made of in place of its name, for every word.
-        blank = F.coalesce(F.rlike("joined", F.lit(r"^\s*$")), F.lit(False))
-        d = d.withColumn("one", F.explode(F.when(blank, F.array().cast("array<int>")).otherwise(F.array(F.lit(1)))))
+    # Taken out of a list, so that no condition on the result, here or later, puts all that `joined` is made of in place of its name, for every word.
+    blank = F.lit(not emptied) & F.coalesce(F.rlike("joined", F.lit(r"^\s*$")), F.lit(False))
+    d = d.select(*(c for c in d.columns if c != "joined"), F.explode(F.when(blank, F.array().cast("array<string>")).otherwise(F.array("joined"))).alias("joined"))
     text = F.coalesce("joined", F.col("row.text").cast("string")).cast(docs.schema["text"].dataType)
     columns = {"text": text}
     if "n_chars" in docs.columns:

@@ -178,3 +178,10 @@ def test_emptied_documents_may_go(spark):
     df = spark.createDataFrame(rows, DOCS)
     assert sorted((r["doc_id"], r["text"]) for r in linededup.remove_repeats(df, emptied=False).collect()) == [(1, FOOTER), (3, ""), (4, None), (5, "own")]
     assert linededup.remove_repeats(df).count() == 5
+
+
+def test_conditions_on_the_result_cost_nothing(spark):
+    """A filter and a narrow selection, which the optimizer could weave into the work on each word."""
+    rows = [(i, "\n".join(" ".join(f"word{k * 31 % 977} of line {j}" for k in range(60)) for j in range(60))) for i in range(2)]
+    out = linededup.remove_repeats(spark.createDataFrame(rows, DOCS), report=True)
+    assert out.filter("length(text) > 0 and text like '%word%'").count() == 1 and out.select("removed_chunks").agg({"removed_chunks": "sum"}).first()[0] > 0
