@@ -186,7 +186,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity:
         end = np.array([end_id], words.dtype)
         for batch in batches:
             rows = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), words.encode(batch.column(1).to_pylist())):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), words.encode(batch.column(1))):
                 ids = np.concatenate([ids, end]).astype("<u4")
                 first = (len(ids) - 1) % capacity + 1
                 borders = [0, *range(first, len(ids) + 1, capacity)]

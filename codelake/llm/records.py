@@ -110,7 +110,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = EN
             if out is None:
                 out = store.open_output_stream(f"{name}.{attempt}.tmp")
                 out.write(MAGIC + bytes([words.dtype.itemsize]))
-            for doc_id, ids in zip(batch.column(0).to_pylist(), words.encode(batch.column(1).to_pylist())):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), words.encode(batch.column(1))):
                 record = frame(doc_id, np.concatenate([ids, end]))
                 out.write(record)
                 entries.append((doc_id or 0, offset, len(ids) + 1))

@@ -133,3 +133,31 @@ def test_dominance_loses_no_optimum():
         assert plan.sequences >= fewest(lengths, 30)
         if plan.fixed == plan.sequences:  # all of it decided by dominance
             assert plan.sequences == fewest(lengths, 30)
+
+
+def test_odd_texts_have_the_ids_of_the_library(encode):
+    """Blanks, line ends, marks and letters in any order, with a memory that soon overflows."""
+    import pyarrow as pa
+
+    from codelake.llm import subwords
+
+    parts = ["a", "foo", "it's", "'s", "''", "don't", "é", "ª", "²", "漢", "٣", "!", ",.", "\n", "\n", "\n\n", " ", " ", " ", "\t", "\x1c", "\x85", "\xa0", "<|endoftext|>", "12", "x" * 60, "\0", "Ġ", "Ċ", "…", "\U0001f600", "." * 9]
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(parts, rng.integers(0, 12))) for _ in range(5000)]
+    words = subwords.Subwords(PATH, remember=300)
+    for lo in range(0, len(texts), 500):
+        for text, ids in zip(texts[lo : lo + 500], words.encode(pa.array(texts[lo : lo + 500]))):
+            assert ids.tolist() == encode(text, 0)[:-1].tolist(), repr(text)
+
+
+def test_a_word_is_learned_once_for_all_marks(encode):
+    import pyarrow as pa
+
+    from codelake.llm import subwords
+
+    made = subwords.Subwords(PATH)
+    learned, led = [], made._led
+    made._led = lambda words: learned.extend(words) or led(words)
+    text = " ".join(f"wordle{mark}" for mark in ("", ",", ".", "!", "?", ":", ";", ").", "'"))
+    assert made.encode(pa.array([f"so {text}"]))[0].tolist() == encode(f"so {text}", 0)[:-1].tolist()
+    assert learned == list(dict.fromkeys(learned)) and sum("wordle" in w for w in learned) == 1
