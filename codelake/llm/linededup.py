@@ -36,7 +36,7 @@ changed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_dir, read_table, shared_dir
@@ -132,18 +132,23 @@ def chunks(docs: DataFrame) -> DataFrame:
 
 
 def _by_document(found: DataFrame) -> DataFrame:
-    """(uid, spans): the chunks (at, h, gone) of each document; found: (uid, at, h, first)."""
-    of_hash = found.repartition("uid").groupBy("uid", "h").agg(F.collect_set("at").alias("places"), F.min("at").alias("least"), F.min("first").alias("first"))
-    gone = lambda at: (F.col("uid") != F.col("first")) | (at != F.col("least"))
+    """(uid, spans): the chunks (at, h, gone) of each document; found: (uid, at, h, later), later if an earlier document holds the chunk too."""
+    of_hash = found.repartition("uid").groupBy("uid", "h").agg(F.collect_set("at").alias("places"), F.min("at").alias("least"), F.bool_or("later").alias("later"))
+    gone = lambda at: F.col("later") | (at != F.col("least"))
     spans = F.transform("places", lambda at: F.struct(at.alias("at"), F.col("h").alias("h"), gone(at).alias("gone")))
     return of_hash.select("uid", spans.alias("spans")).groupBy("uid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
+def _with_alone(joined: DataFrame) -> DataFrame:
+    """Adds `alone`, whether no other row has this one's uid; rows come from a join by uid, which has put them side by side."""
+    return joined.withColumn("alone", F.count("*").over(Window.partitionBy("uid")) == 1)
+
+
 def _confirmed(spans: Column) -> Column:
-    """Those of the chunks that stand in `lines`; a row that shares its doc_id may have others."""
+    """Those of the chunks that stand in `lines`; only a row that shares its doc_id may have others."""
     # Naming them twice, which keeps the optimizer from putting the cutting of all lines in place of the names.
     known = F.size("pieces") == F.size("lines")
-    return F.when(known, F.filter(spans, lambda s: _hash_of(_parts(s["at"])) == s["h"]))
+    return F.when(known & F.col("alone"), spans).when(known, F.filter(spans, lambda s: _hash_of(_parts(s["at"])) == s["h"]))
 
 
 def find_repeats(docs: DataFrame) -> DataFrame:
@@ -156,13 +161,17 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     # Summed up before the shuffle. The result is written, so that the join with it can split a hash that very many documents have.
     again = all_.groupBy("h").agg(F.count("*").alias("times"), F.min("uid").alias("first")).filter("times > 1").select("h", "first")
     again.write.option("compression", "zstd").parquet(f"{folder}-again")
-    found = all_.join(spark.read.parquet(f"{folder}-again"), "h")
+    found = all_.join(spark.read.parquet(f"{folder}-again"), "h").select("uid", "at", "h", (F.col("uid") != F.col("first")).alias("later"))
     # Asks for the whole row, as the join of remove_repeats does, so that both read one shuffle of the texts.
     text = F.get(F.transform(F.array("row"), lambda row: row["text"]), F.lit(0))
-    texts = with_pieces(docs.join(_by_document(found), "uid"), text.cast("string"))
+    spans = _by_document(found)
+    texts = with_pieces(_with_alone(docs.join(spans, "uid")), text.cast("string"))
     texts = texts.select(F.explode(F.transform(_confirmed(F.col("spans")), lambda s: F.struct(s["h"].alias("h"), F.array_join(_parts(s["at"]), "\n").alias("text")))).alias("c"))
     unequal = texts.select("c.h", "c.text").distinct().groupBy("h").count().filter("count > 1").select("h")
-    return _by_document(found.join(unequal, "h", "left_anti"))
+    # There are hardly ever any, so they are taken out of the spans, whose shuffle serves twice. All columns are asked for, as above, so that the chunks' shuffle does too.
+    unfit = found.join(unequal, "h").groupBy("uid").agg(F.collect_set(F.struct("h", "at", "later")).alias("unfit"))
+    fit = F.filter("spans", lambda s: ~F.exists("unfit", lambda u: (u["h"] == s["h"]) & (u["at"] == s["at"]) & u["later"].isNotNull()))
+    return spans.join(unfit, "uid", "left").select("uid", F.when(F.col("unfit").isNull(), F.col("spans")).otherwise(fit).alias("spans"))
 
 
 def _places(k: Column, first: Column, n: Column) -> Column:
@@ -196,7 +205,7 @@ def remove_repeats(docs: DataFrame, report: bool = False, emptied: bool = True)
     report adds removed_chunks and removed_lines (lines, or words of long ones).
     """
     own = _identified(docs)
-    d = own.join(find_repeats(own), "uid", "left")
+    d = _with_alone(own.join(find_repeats(own), "uid", "left"))
     d = with_pieces(d, F.when(F.col("spans").isNotNull(), F.col("row.text").cast("string")))
     d = d.withColumn("gone", F.filter(_confirmed(F.col("spans")), lambda s: s["gone"])).withColumn("stays", F.when(F.size("gone") > 0, _stays()))
     # What stands between the words of each line.

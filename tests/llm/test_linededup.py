@@ -185,3 +185,13 @@ def test_conditions_on_the_result_cost_nothing(spark):
     rows = [(i, "\n".join(" ".join(f"word{k * 31 % 977} of line {j}" for k in range(60)) for j in range(60))) for i in range(2)]
     out = linededup.remove_repeats(spark.createDataFrame(rows, DOCS), report=True)
     assert out.filter("length(text) > 0 and text like '%word%'").count() == 1 and out.select("removed_chunks").agg({"removed_chunks": "sum"}).first()[0] > 0
+
+
+def test_found_chunks_go_to_their_documents_once(spark):
+    rng = np.random.default_rng(8)
+    text = " ".join(some_words(rng, "abcdefgh", 100))
+    out = linededup.remove_repeats(spark.createDataFrame([(1, text), (2, text), (3, "own")], DOCS), report=True)
+    found = sorted(tuple(r)[:3] for r in out.collect())
+    assert found[0] == (1, text, 0) and found[1][2] > 0 and found[2] == (3, "own", 0)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("REPARTITION_BY_COL") == 1
