@@ -37,6 +37,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -195,7 +196,7 @@ class Trainer:
 
     def step(self, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> None:
         n, d = len(w), DIMENSIONS
-        ra, rb, rw = self.r[a], self.r[b], self.r[w]
+        ra, rb, rw = (np.take(self.r, x, axis=0) for x in (a, b, w))
         q = ra @ self.c1.T + rb @ self.c2.T
         noise = np.minimum(np.searchsorted(self.up_to, self.rng.random(NOISE)), CLASSES - 1)
         rn = self.r[noise]
@@ -219,7 +220,7 @@ class Trainer:
         order = np.argsort(where.astype(np.int16), kind="stable")  # by counting
         where = where[order]
         first = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
-        rows, sums = where[first], np.add.reduceat(what[order], first, axis=0) / np.float32(n)
+        rows, sums = where[first], np.add.reduceat(np.take(what, order, axis=0), first, axis=0) / np.float32(n)
         for x, past, grad in zip((self.r, self.bias), self.past, (sums[:, :d], sums[:, d])):  # classes without a gradient stay
             past[rows] += grad * grad
             x[rows] -= RATE * grad / np.sqrt(past[rows])
@@ -243,16 +244,26 @@ class Reader:
 
     def places(self, words: list[bytes]) -> np.ndarray:
         """The place of each word in the head, -1 beyond it."""
-        get = self.head.get
-        return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        return np.fromiter(map(self.head.get, words, repeat(-1)), np.int64, len(words))
 
     def classes(self, words: list[bytes], places: np.ndarray) -> np.ndarray:
-        out = self.class_of[places] if self.size else np.zeros(len(words), np.int32)
-        for i in np.flatnonzero(places < 0).tolist():
-            out[i] = bin_of(words[i])
+        out = np.take(self.class_of, places, mode="wrap") if self.size else np.zeros(len(words), np.int32)
+        beyond = np.flatnonzero(places < 0)
+        out[beyond] = [bin_of(words[i]) for i in beyond.tolist()]
         return out
 
 
+def _all_tokens(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
+    """The tokens of the texts one after another, and how many there are up to the end of each text."""
+    words: list[bytes] = []
+    ends = []
+    for text in texts:
+        words += tokens_of(text)
+        words.append(END)
+        ends.append(len(words))
+    return words, np.array(ends, np.int64)
+
+
 def _contexts(classes: np.ndarray, starts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The classes one and two tokens before; the end's class before a text's first token."""
     a = np.r_[end, classes[:-1]] if len(classes) else classes
@@ -270,12 +281,10 @@ def as_classes(docs: DataFrame, shared) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(*shared.value)
         for batch in batches:
-            texts = [[*tokens_of(t), END] for t in batch.column(1).to_pylist()]
-            if not texts:
+            words, ends = _all_tokens(batch.column(1).to_pylist())
+            if not words:
                 continue
-            words = [w for t in texts for w in t]
             classes = reader.classes(words, reader.places(words)).astype("<i2")
-            ends = np.cumsum([len(t) for t in texts])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends, prepend=0)), pa.array([c.tobytes() for c in np.split(classes, ends[:-1])], pa.binary())], ["doc_id", "n", "classes"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, classes binary")
@@ -362,16 +371,15 @@ def score(docs: DataFrame, counts: DataFrame, voc: Vocabulary, model: Bilinear)
         head_share = np.where(in_bin, head_share + (log_known - log_bins)[np.maximum(class_of - SHORTLIST, 0)], 0.0) if reader.size else head_share
         seen = 0
         for batch in batches:
-            texts = [[*tokens_of(t), END] for t in batch.column("text").to_pylist()]
-            words = [w for t in texts for w in t]
+            words, ends = _all_tokens(batch.column("text").to_pylist())
             if not words:
                 continue
-            lengths = np.array([len(t) for t in texts])
-            starts = np.cumsum(lengths) - lengths
+            lengths = np.diff(ends, prepend=0)
+            starts = ends - lengths
             places = reader.places(words)
             classes = reader.classes(words, places)
             a, b = _contexts(classes, starts, end)
-            by_class = (one[a, classes].astype(np.float64) + two[b, classes] - logs[a, b]) / np.log(10)
+            by_class = (np.take(one, a * CLASSES + classes).astype(np.float64) + np.take(two, b * CLASSES + classes) - np.take(logs, a * CLASSES + b)) / np.log(10)
             known = places >= 0
             if reader.size:
                 base = np.where(known, head_base[places], 0.0)
@@ -388,10 +396,10 @@ def score(docs: DataFrame, counts: DataFrame, voc: Vocabulary, model: Bilinear)
             ], fields=list(_TAIL))
             add = lambda x: pa.array(np.add.reduceat(x, starts))  # noqa: E731, B023
             yield pa.RecordBatch.from_arrays([
-                pa.array((task << 33) + seen + np.arange(len(texts))), batch.column("doc_id"), pa.array(lengths.astype(np.int64)),
+                pa.array((task << 33) + seen + np.arange(len(ends))), batch.column("doc_id"), pa.array(lengths.astype(np.int64)),
                 add(known.astype(np.int64)), add(base), add(by_class), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values),
             ], ["ref", "doc_id", "n_tokens", "known", "base", "score", "tail"])
-            seen += len(texts)
+            seen += len(ends)
 
     schema = "ref long, doc_id long, n_tokens long, known long, base double, score double, tail array<struct<word:binary,bin:int,n:long>>"
     # Row references are made once and then read again, so they stay the same.

@@ -70,3 +70,9 @@ def test_nothing_to_learn_from_and_ties(spark):
     tied = spark.createDataFrame([(i, " ".join(f"w{i:03}x{j}" for j in range(4))) for i in ids], "doc_id long, text string")
     one, two = ({r["doc_id"]: r["score"] for r in lm.lm_scores(tied.repartition(n)).collect()} for n in (1, 5))
     assert one.keys() == two.keys() and all(one[i] == pytest.approx(two[i], rel=1e-10) for i in one)
+
+
+def test_tokens_stand_one_after_another():
+    words, ends = lm._all_tokens(["A b", "", " c"])
+    assert words == [b"a", b"b", lm.END, lm.END, b"c", lm.END] and ends.tolist() == [3, 4, 6]
+    assert lm._all_tokens([])[0] == []
