@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, id_and_text, read_table, small_batches
+from .common import held_out, id_and_text, only_memory, parts_of, read_table, small_batches
 
 LETTERS, SHAPES = 8192, 1024
 SAME = LETTERS + SHAPES
@@ -92,6 +92,7 @@ def index_vectors() -> np.ndarray:
 
 def read_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The entries of letters and of shapes, whether a word repeats the one before, and the number of words of each text."""
+    only_memory("entries", _entries.clear)
     words = [t.split() for t in texts]
     counts = np.array([len(w) for w in words], np.int64)
     get = _entries.__getitem__
@@ -126,6 +127,16 @@ def _add_by(total: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
     total[ids[heads]] += np.add.reduceat(x[order], heads, axis=0)
 
 
+def add_around(total: np.ndarray, texts: list[str]) -> None:
+    """Adds what stands around each word to the rows of its entries."""
+    letters, shapes, same, counts = read_words(texts)
+    if len(letters):
+        around = _around(letters, shapes, same, counts)
+        _add_by(total, letters, around)
+        _add_by(total, shapes, around)
+        total[SAME] += around[same].sum(axis=0)
+
+
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """A vector of length one (or zero) for each entry, from all rows of docs (text)."""
     names = [f"x{j}" for j in range(DIMENSIONS)]
@@ -133,13 +144,8 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((ENTRIES, DIMENSIONS))
         for batch in batches:
-            letters, shapes, same, counts = read_words(batch.column(0).to_pylist())
-            if not len(letters):
-                continue
-            around = _around(letters, shapes, same, counts)
-            _add_by(total, letters, around)
-            _add_by(total, shapes, around)
-            total[SAME] += around[same].sum(axis=0)
+            for texts in parts_of(batch.column(0).to_pylist()):
+                add_around(total, texts)
         used = np.flatnonzero(total.any(axis=1)).astype(np.int32)
         if len(used):
             yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(total[used, j].astype(np.float32)) for j in range(DIMENSIONS))], ["i", *names])
@@ -163,6 +169,11 @@ def _means(x: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def pooled(texts: list[str], vectors: np.ndarray) -> np.ndarray:
+    """A row for each text, made a few texts at a time: a word takes two vectors."""
+    return np.concatenate([_pooled(part, vectors) for part in parts_of(texts)] or [_pooled([], vectors)])
+
+
+def _pooled(texts: list[str], vectors: np.ndarray) -> np.ndarray:
     letters, shapes, same, counts = read_words(texts)
     # Windows of WINDOW words, the last of a text shorter.
     windows = -(-counts // WINDOW)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from .common import only_memory
+
 WORDS = 5
 _MOST = 500_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -44,6 +46,7 @@ def words_of(text: str | None) -> list[str]:
 
 def word_hashes(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all words, text after text, and how many each text has."""
+    only_memory("hashes", _words.clear)
     if len(_words) > _MOST:
         _words.clear()
     counts = np.array([len(t) for t in texts], np.int64)

@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import only_memory
+
 #: Unicode White_Space, which is what the tokenizer's own splitting pattern goes by.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _WORDS = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
@@ -38,9 +40,8 @@ class Subwords:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self._whole = Tokenizer.from_file(path)
-        self._special = [t.content for t in self._whole.get_added_tokens_decoder().values()]
         self._tokenizer = Tokenizer.from_file(path)
+        self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._tokenizer.encode_special_tokens = True  # no word is one
         self.dtype = np.dtype("<u2") if self._tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self._leads = np.zeros(self._tokenizer.get_vocab_size(), bool)
@@ -51,6 +52,14 @@ class Subwords:
         self._known: dict[str, bytes] = {}
         self._marks: dict[str, bytes] = {}
 
+    def _encode_whole(self, text: str) -> np.ndarray:
+        """With special tokens as such."""
+        self._tokenizer.encode_special_tokens = False
+        try:
+            return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
+        finally:
+            self._tokenizer.encode_special_tokens = True
+
     def _led(self, words: list[str]) -> list[bytes]:
         """Encodes many words as one text, each with one blank or line end before it: only a word's first id begins with one."""
         found, size = [], self.dtype.itemsize
@@ -144,11 +153,16 @@ class Subwords:
         for i, text in zip(others, split):
             found[i] = np.frombuffer(b"".join(map(ids_of.__getitem__, text)), self.dtype)
         for i in np.flatnonzero(whole).tolist():
-            found[i] = np.array(self._whole.encode(texts[i].as_py(), add_special_tokens=False).ids, self.dtype)
+            found[i] = self._encode_whole(texts[i].as_py())
         return found
 
 
-@cache
 def subwords(path: str) -> Subwords:
-    """One for each Python worker, so that what one task has learned serves the next."""
+    """One for each Python worker, so that what one task has learned serves the next of the same operator."""
+    only_memory("subwords", _loaded.cache_clear)
+    return _loaded(path)
+
+
+@cache
+def _loaded(path: str) -> Subwords:
     return Subwords(path)
